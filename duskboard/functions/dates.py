@@ -54,12 +54,10 @@ def month_number(c: Column | str, prefix: bool = False) -> Column:
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
     """Date, or null for an impossible one."""
-    parts = [
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    ]
-    return F.concat_ws("-", *parts).try_cast("date")
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(
+        year.cast("int"), month.cast("int"), day.cast("int"), zero, zero, zero.cast("decimal(16,6)")
+    ).cast("date")
 
 
 def hhmm(hour: Column, minute: Column) -> Column:
@@ -101,15 +99,9 @@ def parse_date_any(c: Column | str) -> Column:
 
 def numeric_dates(c: Column | str) -> Column:
     """``array<date>`` of every dd/mm/yyyy, dd/mm/yy or dd.mm.yyyy token; impossible ones are dropped."""
-    found = F.regexp_extract_all(_col(c), F.lit(f"({NUMERIC_DATE})"), F.lit(1))
-    dates = F.transform(
-        found,
-        lambda t: ymd(
-            _full_year(F.element_at(F.split(t, "[/.]"), 3).try_cast("int")),
-            F.element_at(F.split(t, "[/.]"), 2).try_cast("int"),
-            F.element_at(F.split(t, "[/.]"), 1).try_cast("int"),
-        ),
-    )
+    day, month, year = (F.regexp_extract_all(_col(c), F.lit(NUMERIC_DATE), F.lit(g)) for g in (1, 2, 3))
+    tokens = F.arrays_zip(day.alias("d"), month.alias("m"), year.alias("y"))
+    dates = F.transform(tokens, lambda t: ymd(_full_year(t["y"].cast("int")), t["m"], t["d"]))
     return F.array_compact(dates)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from duskboard.functions.text import _col
+from duskboard.functions.text import _col, let
 
 # Marker words of each pricing policy, matched on lower-cased text.
 FREE = "gratu[ïi]?t|gratu[ïi]ta|accés\\s+lliure|entrada\\s+(lliure|libre|gratu)|activitat\\s+gratu|free"
@@ -68,29 +68,33 @@ def price_bounds(values: Column, rounding: str = "even") -> Column:
 def normalize_price(c: Column | str, policy: str, rounding: str | None = None) -> Column:
     """Free text to the price convention; the policy fixes which reading wins."""
     default_rounding, steps = POLICIES[policy]
+    mode = rounding or default_rounding
     text = F.lower(F.nullif(F.trim(_col(c)), F.lit("")))
-    found = euro_amounts(text)
-    public = F.filter(found, lambda v: v > 0)
-    bounds = price_bounds(public, rounding or default_rounding)
-    lo, hi = bounds["lo"], bounds["hi"]
-    shown = F.when(F.size(public) == 0, F.lit("free"))
-    any_amount = F.size(found) > 0
-    rules = {
-        "unknown": (text.rlike(UNKNOWN), F.lit(None).cast("string")),
-        "bundled": (text.rlike(BUNDLED), F.lit("free")),
-        "sold": (text.rlike(SOLD_OUT), F.lit("sold-out")),
-        "free": (text.rlike(FREE), F.lit("free")),
-        "amount": (any_amount, shown.otherwise(format_eur_range(lo, hi))),
-        # A range only where the text says "from .. to ..", else the highest price.
-        "phrase_amount": (
-            any_amount,
-            shown.when(text.rlike(r"\bde\b.*\ba\b"), format_eur_range(lo, hi)).otherwise(euros(hi)),
-        ),
-        "top_amount": (any_amount, shown.otherwise(euros(hi))),
-    }
-    chain = F.when(text.isNull(), F.lit(None).cast("string"))
-    chain = reduce(lambda acc, step: acc.when(*rules[step]), steps, chain)
-    return chain.otherwise(F.lit(None).cast("string"))
+
+    def read(r: Column) -> Column:
+        t, n, lo, hi = r["t"], r["n"], r["b"]["lo"], r["b"]["hi"]
+        shown = F.when((n > 0) & hi.isNull(), F.lit("free"))
+        rules = {
+            "unknown": (t.rlike(UNKNOWN), F.lit(None).cast("string")),
+            "bundled": (t.rlike(BUNDLED), F.lit("free")),
+            "sold": (t.rlike(SOLD_OUT), F.lit("sold-out")),
+            "free": (t.rlike(FREE), F.lit("free")),
+            "amount": (n > 0, shown.otherwise(format_eur_range(lo, hi))),
+            # A range only where the text says "from .. to ..", else the highest price.
+            "phrase_amount": (
+                n > 0,
+                shown.when(t.rlike(r"\bde\b.*\ba\b"), format_eur_range(lo, hi)).otherwise(euros(hi)),
+            ),
+            "top_amount": (n > 0, shown.otherwise(euros(hi))),
+        }
+        chain = F.when(t.isNull(), F.lit(None).cast("string"))
+        return reduce(lambda acc, step: acc.when(*rules[step]), steps, chain).otherwise(F.lit(None).cast("string"))
+
+    def bounds(found: Column) -> Column:
+        public = F.filter(found, lambda v: v > 0)
+        return F.struct(text.alias("t"), F.size(found).alias("n"), price_bounds(public, mode).alias("b"))
+
+    return let(let(euro_amounts(text), bounds), read)
 
 
 def cut_price_tiers(c: Column | str, ceiling: int = 500) -> Column:

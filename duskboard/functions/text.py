@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ NAMED_ENTITIES = {
     "&iuml;": "ï", "&ograve;": "ò", "&oacute;": "ó", "&uacute;": "ú", "&uuml;": "ü",
     "&ccedil;": "ç", "&ntilde;": "ñ", "&middot;": "·", "&laquo;": "«", "&raquo;": "»",
     "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&hellip;": "…", "&euro;": "€",
+    "&rdquo;": "”", "&hellip;": "…", "&euro;": "€", "&copy;": "©", "&reg;": "®",
 }
 
 
@@ -23,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _codepoint(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
@@ -49,12 +55,10 @@ def _numeric_entities(text: Column) -> Column:
 
 def decode_entities(c: Column | str) -> Column:
     """HTML entities to characters; ``&amp;`` goes last so that nothing is decoded twice."""
-    text = _col(c)
-    text = reduce(
-        lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), NAMED_ENTITIES.items(), text
-    )
+    raw = _col(c)
+    text = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), NAMED_ENTITIES.items(), raw)
     text = F.when(F.contains(text, F.lit("&#")), _numeric_entities(text)).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(raw, F.lit("&")), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(raw)
 
 
 def squeeze(c: Column | str) -> Column:
@@ -82,7 +86,7 @@ def strip_html(c: Column | str) -> Column:
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     """Accent folding by rule: the ASCII part of each letter's compatibility decomposition."""
     single_from, single_to, several = [], [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2100)]:
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), 0x2026]:
         ch = chr(code)
         ascii_part = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
         if len(ascii_part) == 1:
@@ -99,7 +103,11 @@ _FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_tables()
 def fold_accents(c: Column | str) -> Column:
     """ASCII form of a text; what has none is dropped."""
     text = F.translate(_col(c), _FOLD_FROM, _FOLD_TO)
-    text = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _FOLD_SEVERAL, text)
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FOLD_SEVERAL])
+    text = F.when(
+        text.rlike(f"[{''.join(a for a, _ in _FOLD_SEVERAL)}]"),
+        F.aggregate(table, text, lambda acc, kv: F.replace(acc, kv["a"], kv["b"])),
+    ).otherwise(text)
     return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 
 

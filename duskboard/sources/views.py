@@ -216,6 +216,46 @@ _DUCK["words"] = (
     "unnest(string_split_regex(text, '[ \\n]')) AS word FROM documents"
 )
 
+# Links in every form a page writes them: absolute, protocol-relative, rooted, bare.
+VIEWS["f_url"] = """
+SELECT page_id, url,
+  CASE page_id % 5
+    WHEN 0 THEN url
+    WHEN 1 THEN replace(replace(url, 'https:', ''), 'http:', '')
+    WHEN 2 THEN concat('/ca/agenda/', CAST(page_id AS @str@), '/?id=', CAST(page_id AS @str@), '#info')
+    WHEN 3 THEN concat('sessio/', CAST(page_id AS @str@), '//')
+    ELSE concat('http://www.example.org/film/', CAST(page_id AS @str@)) END AS href
+FROM pages"""
+
+# Titles that carry time, genres and price, a series, or a version tag.
+VIEWS["f_packed"] = """
+SELECT event_id,
+  concat(CASE WHEN start_time IS NULL THEN '' ELSE concat(start_time, 'h | ') END, title, ' (',
+         coalesce(recurrence_hint, 'Jazz'), ', Soul) ',
+         CASE WHEN price IS NULL THEN '' WHEN price = 'free' THEN 'Entrada libre' WHEN price = 'sold-out' THEN '-'
+              ELSE replace(price, '€', ' €') END) AS packed,
+  concat(title, CASE WHEN event_id % 3 = 0 THEN ' | Friday | Blues' WHEN event_id % 3 = 1 THEN ' |' ELSE '' END) AS with_series,
+  concat(title, CASE WHEN event_id % 2 = 0 THEN ' – (VOSE) (estreno)' ELSE '' END) AS with_tag,
+  CASE WHEN image_url IS NULL THEN 'data:image/gif;base64,R0 1w, https://img.example.org/b.jpg 2w'
+       ELSE concat(image_url, ' 300w, https://img.example.org/large.jpg 600w') END AS srcset,
+  image_url
+FROM f_event"""
+
+# JSON-LD of each event, one document per event; every document of one venue is cut short.
+VIEWS["f_jsonld"] = """
+SELECT event_id, venue_id,
+  concat('[{"@type":"', CASE WHEN event_id % 13 = 0 THEN 'Place' ELSE 'Event' END, '","name":"', title,
+         '","url":"', source_url, '","startDate":"', CAST(start_date AS @str@),
+         CASE WHEN start_time IS NULL THEN '' ELSE concat('T', start_time, ':00+01:00') END,
+         '","endDate":"', CAST(start_date AS @str@),
+         CASE WHEN event_id % 4 = 0 THEN 'T23:59:59+01:00' WHEN start_time IS NULL THEN '' ELSE concat('T', start_time, ':00+01:00') END,
+         '","image":"', coalesce(image_url, ''), '","description":"', coalesce(description, ''),
+         '","offers":{"price":"', CAST(event_id % 30 AS @str@),
+         CASE WHEN event_id % 2 = 0 THEN '.50' ELSE '' END, '","priceCurrency":"EUR","availability":"https://schema.org/',
+         CASE WHEN event_id % 6 = 2 THEN 'SoldOut' ELSE 'InStock' END, '"}}',
+         CASE WHEN venue_id = 4 THEN '' ELSE ']' END) AS doc
+FROM f_event"""
+
 _NAME = re.compile(r"\b(f_[a-z_]+)\b")
 
 
@@ -279,6 +319,7 @@ class Tables:
                     frames[word] = self.base(word)
                 elif word in VIEWS:
                     frames[word] = self.view(word)
+            text = text.replace("{", "{{").replace("}", "}}")
             text = re.sub(
                 r"(FROM|JOIN)(\s+)([a-z_]+)\b",
                 lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" if m[3] in frames else m[0],
