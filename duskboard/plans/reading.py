@@ -1 +1,90 @@
-"""Pending."""
+"""Sources and sinks."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duskboard.functions.categories import LOCALES
+from duskboard.operators.agenda import all_pages
+from duskboard.plans.registry import TODAY, query
+from duskboard.sources.entities import read_pages
+from duskboard.sources.feeds import parse_feed
+from duskboard.sources.sinks import publish, write_events
+from duskboard.sources.views import Tables
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a query that writes: in the shared folder the cluster names, if any."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        import uuid
+
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+
+
+@query("scan_entities", """
+SELECT 'city' AS entity, count(*) AS n, CAST(min(city_id) AS VARCHAR) AS first_key FROM f_city
+UNION ALL SELECT 'category', count(*), CAST(min(category_id) AS VARCHAR) FROM f_category
+UNION ALL SELECT 'venue', count(*), CAST(min(venue_id) AS VARCHAR) FROM f_venue
+UNION ALL SELECT 'event', count(*), CAST(min(event_id) AS VARCHAR) FROM f_event
+UNION ALL SELECT 'event_category', count(*), CAST(min(event_id) AS VARCHAR) FROM f_event_category
+UNION ALL SELECT 'event_translation', count(*), CAST(min(event_id) AS VARCHAR) FROM f_translation
+UNION ALL SELECT 'list', count(*), CAST(min(list_id) AS VARCHAR) FROM f_list
+UNION ALL SELECT 'list_venue', count(*), CAST(min(list_id) AS VARCHAR) FROM f_list_venue""")
+def scan_entities(t: Tables) -> DataFrame:
+    keys = {"city": (t.city, "city_id"), "category": (t.category, "category_id"), "venue": (t.venue, "venue_id"),
+            "event": (t.event, "event_id"), "event_category": (t.event_category, "event_id"),
+            "event_translation": (t.translation, "event_id"), "list": (t.list, "list_id"), "list_venue": (t.list_venue, "list_id")}
+    out = None
+    for name, (df, key) in keys.items():
+        one = df.agg(F.count("*").alias("n"), F.min(key).cast("string").alias("first_key")).select(F.lit(name).alias("entity"), "n", "first_key")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("scan_pages", "SELECT page_id, url, length(html) AS n_chars, md5(html) AS digest FROM pages")
+def scan_pages(t: Tables) -> DataFrame:
+    pages = read_pages(t.spark, f"{t.folder}/pages.parquet")
+    return pages.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+@query("scan_json_feed", """
+SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, props ->> '$.missing' AS missing FROM events
+""")
+def scan_json_feed(t: Tables) -> DataFrame:
+    feed = parse_feed(t.events.select("event_id", "props"), "props", "k int, missing string")
+    return feed.select("event_id", "feed.k", "feed.missing")
+
+
+@query("sink_events")
+def sink_events(t: Tables) -> DataFrame:
+    """Writes all venues, then one venue's changed rows again; the others must be as they were."""
+    path = scratch(t.spark, "events")
+    events = t.event.select("event_id", "venue_slug", "title", "start_date", "start_time", "price")
+    write_events(events, path, files_per_venue=4)
+    write_events(events.filter("venue_slug = 'venue-2'").withColumn("price", F.lit("free")), path, files_per_venue=4)
+    stored = t.spark.read.schema(events.schema).parquet(path)
+    return stored.groupBy("venue_slug").agg(F.count("*").alias("n"), F.count_if(F.col("price") == "free").alias("n_free"))
+
+
+@query("publish_agenda", """
+WITH hits AS (
+  SELECT DISTINCT l.slug AS list_slug, e.event_id, e.start_date, e.start_time, e.start_times
+  FROM f_list l JOIN f_list_venue lv ON lv.list_id = l.list_id JOIN f_event e ON e.venue_id = lv.venue_id
+  WHERE l.author = 'house' AND e.start_date >= DATE '2024-01-14'
+    AND (lv.whitelist_category_id IS NULL OR EXISTS (SELECT 1 FROM f_event_category ec WHERE ec.event_id = e.event_id AND ec.category_id = lv.whitelist_category_id))),
+x AS (SELECT list_slug, start_date, unnest(CASE WHEN len(start_times) > 0 THEN start_times ELSE [start_time] END) AS t FROM hits),
+d AS (SELECT list_slug, CASE WHEN t < '05:00' THEN CAST(start_date - INTERVAL 1 DAY AS DATE) ELSE start_date END AS logical_date, t FROM x)
+SELECT locale, list_slug, count(*) AS n, count(t) AS n_timed, count(DISTINCT logical_date) AS n_days
+FROM d, (VALUES ('ca'), ('es'), ('en')) AS v(locale) WHERE logical_date >= DATE '2024-01-15' GROUP BY ALL""")
+def publish_agenda(t: Tables) -> DataFrame:
+    pages = all_pages(t.list, t.list_venue, t.venue, t.event, t.event_category, t.translation, TODAY, LOCALES)
+    path = scratch(t.spark, "agenda")
+    publish(pages, path, "parquet", files_per_page=2)
+    stored = t.spark.read.schema(pages.schema).parquet(path)
+    return stored.groupBy("locale", "list_slug").agg(
+        F.count("*").alias("n"), F.count("start_time").alias("n_timed"), F.count_distinct("logical_date").alias("n_days"))
