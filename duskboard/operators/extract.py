@@ -146,6 +146,7 @@ def reconstruct_lines(
 
 DATE_LINE = r"^([0-9]{1,2})/([0-9]{1,2})"
 TIME_LINE = r"^([0-9]{1,2}(:[0-9]{2}h?|h)\b)"
+PRICE_LINE = r"([0-9]+)\s*€"
 
 
 def schedule_segments(
@@ -155,33 +156,54 @@ def schedule_segments(
     date_line: str = DATE_LINE,
     time_line: str = TIME_LINE,
 ) -> DataFrame:
-    """Lines to events: a date line opens a day and an event, a time line the next event of the day.
+    """Lines to events: a date line opens a day and its first event, a time line the day's next event.
 
-    Other lines continue the open event. ``lines`` holds ``left_text`` and ``right_text``. Windows
-    run inside one document; an event's text is gathered per segment.
+    ``lines`` holds ``left_text`` and ``right_text``. A price line sets the event's price, a ``&``
+    line and all others continue its text; an event whose opening line has no title takes the first
+    continuing one. Events without a day, a time or a title are dropped. Windows run inside one
+    document, and what is gathered is one event's own lines.
     """
-    left = F.lower("left_text")
+    left = F.lower(F.trim("left_text"))
+    right = F.trim("right_text")
     w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    is_date = left.rlike(date_line)
     marked = (
-        lines.withColumn("_is_date", left.rlike(date_line))
-        .withColumn("_is_start", left.rlike(date_line) | left.rlike(time_line))
-        .withColumn("_head", F.when(F.col("_is_date"), F.regexp_extract(left, date_line, 0)))
-        .withColumn("_time", F.when(F.col("_is_start"), parse_time_any(F.regexp_replace(left, date_line, ""))))
-        .withColumn("segment", F.sum(F.when(F.col("_is_start"), 1).otherwise(0)).over(w))
+        lines.withColumn("_start", is_date | left.rlike(time_line))
+        .withColumn("_head", F.when(is_date, F.regexp_extract(left, date_line, 0)))
+        .withColumn("_time", F.when(F.col("_start"), parse_time_any(F.regexp_replace(left, date_line, ""))))
+        .withColumn("_price", F.when(~F.col("_start"), F.nullif(F.regexp_extract(left, PRICE_LINE, 1), F.lit(""))))
+        .withColumn("_amp", F.startswith(left, F.lit("&")))
+        .withColumn("segment", F.sum(F.when(F.col("_start"), 1).otherwise(0)).over(w))
         .withColumn("day_text", F.last("_head", ignorenulls=True).over(w))
     )
-    opened = marked.filter("segment > 0")
-    heading = F.max(F.when(F.col("_is_start"), F.col("right_text"))).alias("title")
-    rest = F.when(~F.col("_is_start"), F.struct(pos, F.trim(F.concat_ws(" ", "left_text", "right_text")).alias("t")))
-    return opened.groupBy(doc, "segment").agg(
+    aside = F.col("_price").isNotNull() | F.col("_amp")
+    text = F.when(right != "", right).when(~aside & (left != ""), F.trim("left_text"))
+    piece = F.when(
+        ~F.col("_start") & text.isNotNull(),
+        F.struct(F.col(pos).alias("p"), text.alias("t"), (~aside & (right != "")).alias("plain")),
+    )
+    events = marked.filter("segment > 0").groupBy(doc, "segment").agg(
         F.max("day_text").alias("day_text"),
         F.max("_time").alias("start_time"),
-        heading,
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(rest)), lambda s: s["t"]), " "
-        ).alias("description"),
+        F.max(F.when(F.col("_start"), right)).alias("_title"),
+        F.max_by("_price", F.when(F.col("_price").isNotNull(), F.col(pos))).alias("_price"),
+        F.array_sort(F.collect_list(piece)).alias("_pieces"),
         F.count("*").alias("n_lines"),
     )
+    plain = F.filter("_pieces", lambda s: s["plain"])
+    late = F.when(F.col("_title") == "", F.try_element_at(plain, F.lit(1)))
+    body = F.filter("_pieces", lambda s: F.coalesce(s["p"] != F.col("_late.p"), F.lit(True)))
+    return (
+        events.withColumn("_late", late)
+        .select(
+            doc, "segment", "day_text", "start_time",
+            F.coalesce(F.nullif("_title", F.lit("")), F.col("_late.t")).alias("title"),
+            F.concat("_price", F.lit("€")).alias("price"),
+            F.array_join(F.transform(body, lambda s: s["t"]), " ").alias("description"),
+            "n_lines",
+        )
+        .filter(F.col("day_text").isNotNull() & F.col("start_time").isNotNull() & F.col("title").isNotNull())
+    )
 
 
 def attach_context(blocks: DataFrame, context: DataFrame, page: str = "page_id") -> DataFrame:

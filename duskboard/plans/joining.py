@@ -113,5 +113,4 @@ def unknown_categories(t: Tables) -> DataFrame:
 @query("locale_list_cross", """
 SELECT l.locale, f.slug AS list_slug FROM f_list f, (VALUES ('ca'), ('es'), ('en')) AS l(locale) WHERE f.author = 'house'""")
 def locale_list_cross(t: Tables) -> DataFrame:
-    # The lists are those that at least one given venue belongs to, plus the empty ones.
     return J.page_keys(t.list, ["ca", "es", "en"])

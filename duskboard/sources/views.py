@@ -103,10 +103,14 @@ SELECT event_id, 'en' AS lang, concat('EN ', title) AS title, description,
        CASE WHEN event_id % 2 = 1 THEN NULL ELSE concat(source_url, '?lang=en') END AS source_url
 FROM f_event WHERE image_url IS NOT NULL AND price IS NOT NULL"""
 
+# House lists per category and per nation; a region's list is by another author and never published.
 VIEWS["f_list"] = """
 SELECT category_id AS list_id, slug, name, 'house' AS author, CAST(0 AS BIGINT) AS city_id FROM f_category
 UNION ALL
-SELECT CAST(100 AS BIGINT) AS list_id, 'guest-picks' AS slug, 'Guest picks' AS name, 'guest' AS author, CAST(0 AS BIGINT) AS city_id"""
+SELECT CAST(200 + n_nationkey AS BIGINT) AS list_id, replace(lower(n_name), '_', '-') AS slug, n_name AS name, 'house' AS author,
+       CAST(n_regionkey AS BIGINT) AS city_id FROM nation
+UNION ALL
+SELECT 100 + city_id AS list_id, concat('guest-', slug) AS slug, name, 'guest' AS author, city_id FROM f_city"""
 
 # A venue of one category joins its list whole; others join once per category. Some venues sit in
 # a list twice (whole and whitelisted), so overlapping memberships must collapse.
@@ -117,7 +121,11 @@ FROM f_venue_category vc
 JOIN (SELECT venue_id, count(*) AS n_cat FROM f_venue_category GROUP BY venue_id) n ON n.venue_id = vc.venue_id
 UNION ALL
 SELECT CAST(venue_id % 5 + 1 AS BIGINT) AS list_id, venue_id, CAST(2 AS BIGINT) AS whitelist_category_id
-FROM f_venue WHERE address IS NULL"""
+FROM f_venue WHERE address IS NULL
+UNION ALL
+SELECT CAST(200 + s_nationkey AS BIGINT) AS list_id, s_suppkey AS venue_id, CAST(NULL AS BIGINT) AS whitelist_category_id FROM supplier
+UNION ALL
+SELECT 100 + city_id AS list_id, venue_id, CAST(NULL AS BIGINT) AS whitelist_category_id FROM f_venue"""
 
 # A stored snapshot and a fresh batch over the same events. In the batch some ids are gone (URL and
 # title tiers), some are new, some dates moved; a few venues are broken and must be quarantined.
@@ -256,6 +264,24 @@ SELECT event_id, venue_id,
          CASE WHEN venue_id = 4 THEN '' ELSE ']' END) AS doc
 FROM f_event"""
 
+# One page per event: structured data, a card whose class list carries data, a second card, a label list.
+VIEWS["f_event_page"] = """
+SELECT e.event_id, concat('<html lang="ca"><head><title>', title, '</title><script type="application/ld+json">', j.doc, '</script>',
+    CASE WHEN e.event_id % 3 = 0 THEN '<script type="application/ld+json">{not json</script>' ELSE '' END, '</head><body>',
+    '<article class="card ', CAST(start_date AS @str@), ' ', coalesce(start_time, 'x'), ':00 id_', CAST(e.event_id AS @str@), ' dis_', CAST(e.event_id % 20 AS @str@),
+    CASE WHEN e.event_id % 2 = 0 THEN ' funcio-9' ELSE '' END, '"><h3>', title, '</h3><a href="', source_url, '">', coalesce(price, '-'), '</a></article>',
+    '<article class="plain"><h3>', category, '</h3></article></body></html>') AS html
+FROM f_event e JOIN f_jsonld j ON j.event_id = e.event_id"""
+
+# A printed schedule: the words' lines with a date or a time at the left of some of them.
+VIEWS["f_schedule"] = """
+SELECT doc_id, line_no,
+  CASE WHEN line_no % 9 = 2 THEN concat(CAST(1 + line_no % 28 AS @str@), '/', CAST(1 + doc_id % 12 AS @str@), ' 20:30H')
+       WHEN line_no % 9 = 5 THEN '22H' WHEN line_no % 9 = 6 THEN '& 23H' WHEN line_no % 9 = 7 THEN concat(CAST(5 + doc_id % 20 AS @str@), ' €')
+       WHEN line_no % 9 = 3 THEN '' ELSE first_word END AS left_text,
+  CASE WHEN line_no % 18 IN (5, 8) THEN '' ELSE rest END AS right_text
+FROM (SELECT doc_id, CAST(floor(top_px / 20) AS BIGINT) AS line_no, min(word) AS first_word, max(word) AS rest FROM f_words GROUP BY doc_id, floor(top_px / 20)) AS a"""
+
 _NAME = re.compile(r"\b(f_[a-z_]+)\b")
 
 
