@@ -107,11 +107,12 @@ def day_counts(agenda: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def with_row_index(agenda: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """0-based row position inside each day (and page)."""
+def with_row_index(agenda: DataFrame, by: Sequence[str] = (), events: DataFrame | None = None) -> DataFrame:
+    """0-based row position inside each day (and page); ``events`` is where the ids come from."""
     est = agenda.withColumn("_est", F.coalesce("event_start_time", F.lit("")))
     return index_within(
-        est, [*by, "logical_date"], ["time_key", "start_date", "_est"], "event_id", ["session_pos"], out="row_index"
+        est, [*by, "logical_date"], ["time_key", "start_date", "_est"], "event_id", ["session_pos"],
+        out="row_index", values=events,
     ).drop("_est")
 
 

@@ -57,8 +57,6 @@ def nested_showtimes(agenda: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     For the page sink only; an array grows with its film's showtimes. Reports and joins use
     :func:`film_groups` and :func:`film_showtimes`, which never gather a group.
     """
-    from duskboard.operators.agenda import DAY_ORDER  # noqa: F401  (documents the array's order)
-
     rows = agenda.withColumn("film_key", film_key("title"))
     return rows.groupBy(*by, "logical_date", "film_key").agg(
         F.array_sort(F.collect_list(F.struct(_seen().alias("order"), "start_time", "event_id", "venue_name"))).alias(

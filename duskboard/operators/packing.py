@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskboard.operators.ranking import index_within
 from duskboard.session import cut_lineage
@@ -38,7 +39,11 @@ def place(heights: Sequence[int], start: Sequence[int]) -> tuple[list[int], list
 
 def _fold(chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Folds each chunk from its ``_start``; adds column, row, the end above its base, and the base."""
-    schema = chunks.schema.add("col", "int").add("row", "long").add("_end", "array<long>").add("_base", "long")
+    schema = T.StructType(
+        chunks.schema.fields
+        + [T.StructField("col", T.IntegerType()), T.StructField("row", T.LongType()),
+           T.StructField("_end", T.ArrayType(T.LongType())), T.StructField("_base", T.LongType())]
+    )
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx", kind="stable")

@@ -36,14 +36,16 @@ def index_within(
     split: str,
     ties: Sequence[str] = (),
     out: str = "idx",
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position by ``coarse + [split] + ties`` inside each ``keys`` group.
 
     A group is cut along its own order: by the coarse columns (few values) and by equal ranges of
     the numeric ``split`` column. Positions are counted inside the cells, and the cells' offsets
-    come from a running sum over their counts, so no task ever holds a whole group.
+    come from a running sum over their counts, so no task ever holds a whole group. ``values`` may
+    name a cheaper table that covers the range of ``split``, such as the one it comes from.
     """
-    bounds = df.agg(F.min(split).alias("lo"), F.max(split).alias("hi")).select(
+    bounds = (df if values is None else values).agg(F.min(split).alias("lo"), F.max(split).alias("hi")).select(
         F.struct("lo", "hi").alias("b")
     )
     b = bounds.scalar()

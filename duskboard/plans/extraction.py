@@ -1 +1,117 @@
-"""Pending."""
+"""Extraction from page tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from duskboard.operators import extract as X
+from duskboard.plans.registry import query
+from duskboard.plans.scalars import ents, sq, visible
+from duskboard.sources.views import Tables
+
+
+def field(pattern: str) -> str:
+    return f"nullif({sq(ents(f'''regexp_extract(html, '{pattern}', 1)'''))}, '')"
+
+
+H1, TITLE = "(?is)<h1[^>]*>(.*?)</h1>", "(?is)<title[^>]*>(.*?)</title>"
+
+
+@query("extract_page_fields", f"""
+SELECT page_id, url, coalesce({field(H1)}, {field(TITLE)}) AS title, {field(H1)} AS h1,
+  {field('(?is)<html[^>]*\\slang="([^"]*)"')} AS lang, {field('(?is)<img[^>]+src="([^"]*)"')} AS image FROM pages""")
+def extract_page_fields(t: Tables) -> DataFrame:
+    return X.extract_fields(t.pages)
+
+
+@query("extract_links", """
+SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, href FROM (
+  SELECT page_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS href FROM (
+    SELECT page_id, [x for x, i in a if list_position(a, x) = i] AS u FROM (
+      SELECT page_id, [x for x in regexp_extract_all(html, '(?is)<a[^>]+href="([^"]*)"', 1) if regexp_matches(x, '^/[a-z]')] AS a FROM pages)))""")
+def extract_links(t: Tables) -> DataFrame:
+    return X.extract_links(t.pages.select("page_id", "html"), "^/[a-z]").select("page_id", F.col("pos").cast("bigint").alias("pos"), "href")
+
+
+@query("extract_jsonld_events", """
+SELECT event_id, d ->> '$[0].name' AS name, d ->> '$[0].url' AS url, d ->> '$[0].startDate' AS start_text, d ->> '$[0].offers.price' AS price
+FROM (SELECT event_id, TRY_CAST(doc AS JSON) AS d FROM f_jsonld) WHERE d ->> '$[0]."@type"' = 'Event'""")
+def extract_jsonld_events(t: Tables) -> DataFrame:
+    return X.extract_jsonld(t.event_page).select(
+        "event_id", "item.name", "item.url", F.col("item.startDate").alias("start_text"), F.col("item.offers.price").alias("price"))
+
+
+@query("extract_blocks", """
+SELECT page_id, CAST(i - 2 AS BIGINT) AS pos, md5(p) AS digest FROM (
+  SELECT page_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS p FROM (SELECT page_id, string_split(html, '<p>') AS u FROM pages)) WHERE i > 1""")
+def extract_blocks(t: Tables) -> DataFrame:
+    return X.extract_blocks(t.pages.select("page_id", "html"), "<p>").select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+@query("label_value_pairs", """
+SELECT event_id, coalesce(price, '-') AS price, title AS about, coalesce(start_time, '?') AS hours, CAST(3 AS BIGINT) AS n FROM f_event""")
+def label_value_pairs(t: Tables) -> DataFrame:
+    # "Tarifa" comes twice, so its last value counts; the fifth label has no value and is cut.
+    labels = F.array(*[F.lit(x) for x in ("about", "Tarifa ", "HORARI", "tarifa", "extra")])
+    values = F.array("title", "category", F.coalesce("start_time", F.lit("?")), F.coalesce("price", F.lit("-")))
+    df = t.event.select("event_id", labels.alias("l"), values.alias("v"))
+    m = X.label_values(df, "l", "v")
+    return m.select("event_id", F.try_element_at("fields", F.lit("TARIFA")).alias("price"), F.try_element_at("fields", F.lit("ABOUT")).alias("about"),
+                    F.try_element_at("fields", F.lit("HORARI")).alias("hours"), F.size("fields").cast("bigint").alias("n"))
+
+
+@query("class_tokens", """
+SELECT event_id, start_date AS class_date, start_time AS class_time, event_id AS class_id, event_id % 20 AS class_genre,
+  CASE WHEN event_id % 2 = 0 THEN CAST(9 AS BIGINT) END AS class_session FROM f_event""")
+def class_tokens(t: Tables) -> DataFrame:
+    cards = t.event_page.select("event_id", F.regexp_extract("html", '<article class="([^"]*)"', 1).alias("css"))
+    return X.class_tokens(cards, "css").drop("css")
+
+
+@query("page_text", f"SELECT page_id, url, md5({visible('html')}) AS digest FROM pages")
+def page_text(t: Tables) -> DataFrame:
+    return X.page_text(t.pages).select("page_id", "url", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("reconstruct_lines", """
+SELECT doc_id, CAST(floor(top_px / 20) AS BIGINT) AS line_no, coalesce(string_agg(word, ' ' ORDER BY left_px) FILTER (left_px < 400), '') AS left_text,
+  coalesce(string_agg(word, ' ' ORDER BY left_px) FILTER (left_px >= 400), '') AS right_text FROM f_words GROUP BY ALL""")
+def reconstruct_lines(t: Tables) -> DataFrame:
+    return X.reconstruct_lines(t.words)
+
+
+@query("schedule_segments", r"""
+WITH l AS (SELECT doc_id, line_no, lower(trim(left_text)) AS l, trim(left_text) AS raw_left, trim(right_text) AS r FROM f_schedule),
+a AS (SELECT *, regexp_matches(l, '^[0-9]{1,2}/[0-9]{1,2}') AS is_date,
+  regexp_matches(l, '^([0-9]{1,2}(:[0-9]{2}h?|h)\b)') OR regexp_matches(l, '^[0-9]{1,2}/[0-9]{1,2}') AS is_start FROM l),
+b AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER w AS segment,
+  last_value(CASE WHEN is_date THEN regexp_extract(l, '^[0-9]{1,2}/[0-9]{1,2}') END IGNORE NULLS) OVER w AS day_text,
+  CASE WHEN is_start THEN CASE WHEN is_date THEN '20:30' ELSE '22:00' END END AS t,
+  CASE WHEN NOT is_start THEN nullif(regexp_extract(l, '([0-9]+)\s*€', 1), '') END AS price, starts_with(l, '&') AS amp
+  FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+c AS (SELECT *, NOT is_start AND price IS NULL AND NOT amp AND r <> '' AS plain,
+  CASE WHEN is_start THEN NULL WHEN r <> '' THEN r WHEN price IS NULL AND NOT amp AND l <> '' THEN raw_left END AS piece FROM b WHERE segment > 0),
+g AS (SELECT doc_id, segment, max(day_text) AS day_text, max(t) AS start_time, max(CASE WHEN is_start THEN r END) AS head,
+  arg_max(price, line_no) FILTER (price IS NOT NULL) AS price, min(CASE WHEN plain THEN line_no END) AS first_plain, count(*) AS n_lines FROM c GROUP BY doc_id, segment),
+x AS (SELECT g.*, CASE WHEN head = '' THEN first_plain END AS late FROM g)
+SELECT x.doc_id, x.segment, x.day_text, x.start_time, coalesce(nullif(head, ''), max(CASE WHEN c.line_no = late THEN c.piece END)) AS title, x.price || '€' AS price,
+  coalesce(string_agg(c.piece, ' ' ORDER BY c.line_no) FILTER (late IS NULL OR c.line_no <> late), '') AS description, x.n_lines
+FROM x JOIN c ON c.doc_id = x.doc_id AND c.segment = x.segment
+GROUP BY x.doc_id, x.segment, x.day_text, x.start_time, head, x.price, late, x.n_lines
+HAVING x.day_text IS NOT NULL AND x.start_time IS NOT NULL AND coalesce(nullif(head, ''), max(CASE WHEN c.line_no = late THEN c.piece END)) IS NOT NULL""")
+def schedule_segments(t: Tables) -> DataFrame:
+    return X.schedule_segments(t.schedule)
+
+
+@query("page_context", f"""
+WITH f AS (SELECT page_id, {field('(?is)<html[^>]*\\slang="([^"]*)"')} AS lang, {field(H1)} AS h1 FROM pages),
+b AS (SELECT page_id, CAST(i - 2 AS BIGINT) AS pos, p FROM (
+  SELECT page_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS p FROM (SELECT page_id, string_split(html, '<p>') AS u FROM pages)) WHERE i > 1)
+SELECT b.page_id, b.pos, f.lang, f.h1, length(b.p) AS n_chars FROM b JOIN f ON f.page_id = b.page_id""")
+def page_context(t: Tables) -> DataFrame:
+    pages = t.pages.select("page_id", "html")
+    blocks = X.extract_blocks(pages, "<p>").select("page_id", F.col("pos").cast("bigint").alias("pos"), F.length("block").cast("bigint").alias("n_chars"))
+    facts = X.extract_fields(pages, {k: X.PAGE_FIELDS[k] for k in ("lang", "h1")})
+    return X.attach_context(blocks, facts).select("page_id", "pos", "lang", "h1", "n_chars")

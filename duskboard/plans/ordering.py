@@ -89,7 +89,7 @@ def display_title(t: Tables) -> DataFrame:
 SELECT locale, list_slug, logical_date, event_id, sp AS session_pos,
   row_number() OVER (PARTITION BY locale, list_slug, logical_date ORDER BY {DAY_ORDER_SQL}) - 1 AS row_index FROM pages_rows""")
 def row_index_in_day(t: Tables) -> DataFrame:
-    rows = G.with_row_index(pages_of(t), ["locale", "list_slug"])
+    rows = G.with_row_index(pages_of(t), ["locale", "list_slug"], t.events)
     return rows.select("locale", "list_slug", "logical_date", "event_id", F.col("session_pos").cast("bigint").alias("session_pos"), "row_index")
 
 

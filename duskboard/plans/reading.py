@@ -65,8 +65,8 @@ def sink_events(t: Tables) -> DataFrame:
     """Writes all venues, then one venue's changed rows again; the others must be as they were."""
     path = scratch(t.spark, "events")
     events = t.event.select("event_id", "venue_slug", "title", "start_date", "start_time", "price")
-    write_events(events, path, files_per_venue=4)
-    write_events(events.filter("venue_slug = 'venue-2'").withColumn("price", F.lit("free")), path, files_per_venue=4)
+    write_events(events, path)
+    write_events(events.filter("venue_slug = 'venue-2'").withColumn("price", F.lit("free")), path)
     stored = t.spark.read.schema(events.schema).parquet(path)
     return stored.groupBy("venue_slug").agg(F.count("*").alias("n"), F.count_if(F.col("price") == "free").alias("n_free"))
 
@@ -84,7 +84,7 @@ FROM d, (VALUES ('ca'), ('es'), ('en')) AS v(locale) WHERE logical_date >= DATE
 def publish_agenda(t: Tables) -> DataFrame:
     pages = all_pages(t.list, t.list_venue, t.venue, t.event, t.event_category, t.translation, TODAY, LOCALES)
     path = scratch(t.spark, "agenda")
-    publish(pages, path, "parquet", files_per_page=2)
+    publish(pages, path, "parquet")
     stored = t.spark.read.schema(pages.schema).parquet(path)
     return stored.groupBy("locale", "list_slug").agg(
         F.count("*").alias("n"), F.count("start_time").alias("n_timed"), F.count_distinct("logical_date").alias("n_days"))

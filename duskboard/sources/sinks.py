@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-
-def write_events(df: DataFrame, path: str, files_per_venue: int = 1) -> None:
+def write_events(df: DataFrame, path: str) -> None:
     """Writes events by venue and replaces only the venues present in ``df``.
 
-    Rows are spread by venue and a salt, so that a very large venue is written by several tasks
-    (``files_per_venue``) and a small one leaves few files.
+    The rebalance hint groups rows by venue and lets adaptive execution split a venue that is too
+    large for one task and merge those that are small.
     """
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(files_per_venue))
     (
-        df.repartition(F.col("venue_slug"), salt)
+        df.hint("rebalance", "venue_slug")
         .sortWithinPartitions("venue_slug", "start_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -23,11 +20,10 @@ def write_events(df: DataFrame, path: str, files_per_venue: int = 1) -> None:
     )
 
 
-def publish(df: DataFrame, path: str, fmt: str = "json", files_per_page: int = 1) -> None:
-    """Writes every (locale, list) agenda to its own folder, in reading order."""
-    salt = F.pmod(F.xxhash64("logical_date"), F.lit(files_per_page))
+def publish(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Writes every (locale, list) agenda to its own folder, in reading order inside each file."""
     (
-        df.repartition(F.col("locale"), F.col("list_slug"), salt)
+        df.hint("rebalance", "locale", "list_slug", "logical_date")
         .sortWithinPartitions("locale", "list_slug", "logical_date", "time_key", "event_id", "session_pos")
         .write.mode("overwrite")
         .partitionBy("locale", "list_slug")

@@ -311,9 +311,12 @@ def check_sql(body: str) -> str:
     ctes = [f"{n} AS ({_fill(VIEWS[n], _DUCK).strip()})" for n in names]
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        body = ", " + body[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    opening = "WITH "
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            opening, body = start, ", " + body[len(start):]
+            break
+    return opening + ",\n".join(ctes) + "\n" + body
 
 
 class Tables:
