@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from duskboard.functions.text import _col, fold_accents
+from duskboard.functions.text import _col, let
 
 # Month names per language, January first.
 MONTH_NAMES = {
@@ -69,8 +69,13 @@ def hhmm(hour: Column, minute: Column) -> Column:
     )
 
 
+def whole(digits: Column) -> Column:
+    """Integer of a run of digits, else null. Cheaper than ``try_cast``, which fails by exception."""
+    return F.when(digits.rlike("^[0-9]{1,9}$"), digits).cast("int")
+
+
 def _int(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    return whole(F.regexp_extract(text, pattern, group))
 
 
 def _full_year(year: Column) -> Column:
@@ -80,29 +85,50 @@ def _full_year(year: Column) -> Column:
 NUMERIC_DATE = r"([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4}|[0-9]{2})"
 ISO_DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
 COMPACT_DATE = r"(?:^|[^0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?:[^0-9]|$)"
-WORDED_DATE = rf"([0-9]{{1,2}})\s+(?:de\s+|d')?([{_LETTERS}]+)\.?\s+(?:de\s+)?([0-9]{{4}})"
+WORDED_DATE = rf"([0-9]{{1,2}})\s+(?:de\s+|d['’]\s*)?([{_LETTERS}]+)\.?\s+(?:de\s+)?([0-9]{{4}})"
+
+
+def _numeric_date(token: Column) -> Column:
+    """Date of one ``dd/mm/yyyy`` like token; null for an empty one."""
+    parts = F.translate(token, ".", "/")
+    year = whole(F.substring_index(parts, "/", -1))
+    month = whole(F.substring_index(F.substring_index(parts, "/", 2), "/", -1))
+    return ymd(_full_year(year), month, whole(F.substring_index(parts, "/", 1)))
 
 
 def parse_date_any(c: Column | str) -> Column:
-    """First date of a text in any of the numeric, ISO, compact or worded forms; null when invalid."""
-    text = F.lower(_col(c))
-    numeric = ymd(_full_year(_int(text, NUMERIC_DATE, 3)), _int(text, NUMERIC_DATE, 2), _int(text, NUMERIC_DATE, 1))
-    iso = ymd(*[_int(text, ISO_DATE, g) for g in (1, 2, 3)])
-    compact = ymd(*[_int(text, COMPACT_DATE, g) for g in (1, 2, 3)])
-    worded = ymd(
-        _int(text, WORDED_DATE, 3),
-        month_number(F.regexp_extract(text, WORDED_DATE, 2)),
-        _int(text, WORDED_DATE, 1),
-    )
-    return F.coalesce(iso, numeric, worded, compact)
+    """First date of a text in any of the numeric, ISO, compact or worded forms; null when invalid.
+
+    A form is looked for only when those before it gave nothing, and its parts are read from the
+    matched token, not from the whole text again.
+    """
+
+    def worded(token: Column) -> Column:
+        return ymd(
+            whole(F.substring(token, -4, 4)),
+            month_number(F.regexp_extract(token, WORDED_DATE, 2)),
+            _int(token, "^([0-9]+)", 1),
+        )
+
+    def compact(token: Column) -> Column:
+        digits = F.regexp_replace(token, "[^0-9]", "")
+        return ymd(*[whole(F.substring(digits, at, n)) for at, n in ((1, 4), (5, 2), (7, 2))])
+
+    def read(text: Column) -> Column:
+        return F.coalesce(
+            F.regexp_extract(text, ISO_DATE, 0).try_cast("date"),
+            let(F.regexp_extract(text, NUMERIC_DATE, 0), _numeric_date),
+            let(F.regexp_extract(text, WORDED_DATE, 0), worded),
+            let(F.regexp_extract(text, COMPACT_DATE, 0), compact),
+        )
+
+    return let(F.lower(_col(c)), read)
 
 
 def numeric_dates(c: Column | str) -> Column:
     """``array<date>`` of every dd/mm/yyyy, dd/mm/yy or dd.mm.yyyy token; impossible ones are dropped."""
-    day, month, year = (F.regexp_extract_all(_col(c), F.lit(NUMERIC_DATE), F.lit(g)) for g in (1, 2, 3))
-    tokens = F.arrays_zip(day.alias("d"), month.alias("m"), year.alias("y"))
-    dates = F.transform(tokens, lambda t: ymd(_full_year(t["y"].cast("int")), t["m"], t["d"]))
-    return F.array_compact(dates)
+    tokens = F.regexp_extract_all(_col(c), F.lit(NUMERIC_DATE), F.lit(0))
+    return F.array_compact(F.transform(tokens, _numeric_date))
 
 
 def date_span(dates: Column | str, ordered: bool = False) -> Column:
@@ -220,7 +246,7 @@ def worded_span(c: Column | str) -> Column:
     the last printed one, or the year before when that would put it after the end.
     """
     text = F.lower(_col(c))
-    year = F.regexp_extract(text, r"^.*\b([0-9]{4})\b", 1).try_cast("int")
+    year = _int(text, r"^.*\b([0-9]{4})\b", 1)
     tokens = F.regexp_extract_all(text, F.lit(f"({_DATED_YEAR})"), F.lit(1))
 
     def to_date(token: Column) -> Column:
@@ -275,28 +301,32 @@ def trailing_month_dates(c: Column | str, year: int | Column) -> Column:
     """
     text = F.lower(F.regexp_replace(_col(c), r"\([^)]*\)", " "))
     year_col = F.lit(year) if isinstance(year, int) else year
-    slashed = F.regexp_extract_all(text, F.lit(r"([0-9]{1,2}/[0-9]{1,2})"), F.lit(1))
-    bare_text = F.regexp_replace(text, r"[0-9]{1,2}/[0-9]{1,2}", " ")
-
-    def segment_dates(days_text: Column, month_name: Column) -> Column:
-        days = F.regexp_extract_all(days_text, F.lit(r"([0-9]{1,2})"), F.lit(1))
-        return F.transform(days, lambda d: ymd(year_col, month_number(month_name), d.cast("int")))
-
-    def walk(pattern: str, days_group: int, month_group: int) -> Column:
-        days = F.regexp_extract_all(bare_text, F.lit(pattern), F.lit(days_group))
-        months = F.regexp_extract_all(bare_text, F.lit(pattern), F.lit(month_group))
-        return F.flatten(F.transform(F.arrays_zip(days.alias("d"), months.alias("m")),
-                                     lambda s: segment_dates(s["d"], s["m"])))
-
-    own = F.transform(
-        slashed,
-        lambda t: ymd(
-            year_col, F.substring_index(t, "/", -1).cast("int"), F.substring_index(t, "/", 1).cast("int")
-        ),
-    )
-    trailing = F.array_compact(F.concat(own, walk(rf"(?s)(.*?)({MONTH_PATTERN})", 1, 2)))
-    leading = F.array_compact(walk(rf"(?s)({MONTH_PATTERN})((?:(?!{MONTH_PATTERN}).)*)", 2, 1))
-    return F.array_sort(F.array_distinct(F.when(F.size(trailing) > 0, trailing).otherwise(leading)))
+    tokens = F.regexp_extract_all(text, F.lit(rf"[0-9]{{1,2}}/[0-9]{{1,2}}|[0-9]{{1,2}}|[{_LETTERS}]+"), F.lit(0))
+    start = F.struct(F.lit(None).cast("int").alias("month"), F.array().cast("array<date>").alias("dates"))
+
+    def walk(words: Column, slashed: bool) -> Column:
+        """Every day takes the last month met, in the direction the words are given."""
+
+        def step(acc: Column, w: Column) -> Column:
+            month = F.coalesce(month_number(w), acc["month"])
+            own = ymd(
+                year_col, whole(F.substring_index(w, "/", -1)), whole(F.substring_index(w, "/", 1))
+            )
+            date = ymd(year_col, acc["month"], whole(w))
+            if slashed:
+                date = F.when(F.contains(w, F.lit("/")), own).otherwise(date)
+            dates = F.when(date.isNotNull(), F.concat(acc["dates"], F.array(date))).otherwise(acc["dates"])
+            return F.struct(month.alias("month"), dates.alias("dates"))
+
+        return F.aggregate(words, start, step)["dates"]
+
+    def read(words: Column) -> Column:
+        return let(
+            walk(F.reverse(words), True),
+            lambda found: F.when(F.size(found) > 0, found).otherwise(walk(words, False)),
+        )
+
+    return F.array_sort(F.array_distinct(let(tokens, read)))
 
 
 # -- times --------------------------------------------------------------------------------------

@@ -182,8 +182,8 @@ def split_packed_title(c: Column | str) -> Column:
     """``HH:MMh | NAME (genre, genre) PRICE`` to ``struct<title,start_time,price,genres>``."""
     raw = _col(c)
     prefix = r"^\s*(\d{1,2}):(\d{2})h\s*\|\s*"
-    hh = F.regexp_extract(raw, prefix, 1).try_cast("int")
-    mm = F.regexp_extract(raw, prefix, 2).try_cast("int")
+    hh = F.nullif(F.regexp_extract(raw, prefix, 1), F.lit("")).cast("int")
+    mm = F.nullif(F.regexp_extract(raw, prefix, 2), F.lit("")).cast("int")
     start = F.when(
         (hh < 24) & (mm < 60),
         F.concat(F.lpad(hh.cast("string"), 2, "0"), F.lit(":"), F.lpad(mm.cast("string"), 2, "0")),

@@ -109,7 +109,11 @@ def class_token(css: Column | str, form: str) -> Column:
 
 def class_tokens(df: DataFrame, css: str) -> DataFrame:
     """A class list's data: ISO date, HH:mm, numeric id, genre and session numbers."""
-    number = lambda form: F.regexp_extract(class_token(css, form), "([0-9]+)$", 1).try_cast("bigint")
+
+    def number(form: str) -> Column:
+        digits = F.regexp_extract(class_token(css, form), "([0-9]+)$", 1)
+        return F.nullif(digits, F.lit("")).try_cast("bigint")
+
     return (
         df.withColumn("class_date", class_token(css, "date").try_cast("date"))
         .withColumn("class_time", F.substring(class_token(css, "time"), 1, 5))

@@ -70,13 +70,24 @@ def order_films(films: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return films.orderBy(*by, "logical_date", "earliest_key", "first_seen")
 
 
-def balance_columns(films: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Column and row of each film's card when a day's cards fill ``k`` columns.
+def balance_columns(
+    films: DataFrame, ks: Sequence[int] = (3, 2, 1), by: Sequence[str] = (), events: DataFrame | None = None
+) -> DataFrame:
+    """Column and row of each film's card when a day's cards fill ``k`` columns, for every ``k``.
 
     Each card goes, in film order, to the column that is shortest so far, the leftmost on a tie,
     with one gutter row between cards. See :mod:`duskboard.operators.packing` for how days of any
-    size are packed.
+    size are packed. ``events`` is where the event ids come from.
     """
     from duskboard.operators.packing import pack
 
-    return pack(films, k, [*by, "logical_date"], ["earliest_key", "first_seen"])
+    flat = films.select(
+        *by, "logical_date", "film_key", "title", "height", "earliest_key",
+        F.col("first_seen.start_date").alias("_d"), F.col("first_seen.est").alias("_e"),
+        F.col("first_seen.event_id").alias("_id"), F.col("first_seen.session_pos").alias("_s"),
+    )
+    packed = pack(
+        flat, ks, [*by, "logical_date"], ["earliest_key", "_d", "_e"], "_id", ["_s"],
+        values=None if events is None else events.select(F.col("event_id").alias("_id")),
+    )
+    return packed.drop("_d", "_e", "_id", "_s")

@@ -112,18 +112,15 @@ def resolve_ids(
 ) -> DataFrame:
     """Array of ids to the array of their titles, in order; unknown ids are left out.
 
-    The array belongs to one row, so gathering its titles again is bounded by that row.
+    The row's other columns travel along, so one shuffle by ``key`` (unique per row) puts it together
+    again; what is gathered is one row's own array.
     """
-    flat = df.select(key, F.posexplode(ids).alias("_pos", "_id"))
-    named = flat.join(
-        dim.select(F.col(dim_id).alias("_id"), F.col(dim_title).alias("_title")), "_id"
-    ).filter(F.col("_title").isNotNull())
-    titles = named.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_title"))), lambda s: s["_title"]).alias(out)
-    )
-    return df.join(titles, key, "left").withColumn(
-        out, F.coalesce(out, F.array().cast("array<string>"))
-    )
+    rest = [c for c in df.columns if c not in (key, ids)]
+    flat = df.select(key, *rest, F.posexplode_outer(ids).alias("_pos", "_id"))
+    named = flat.join(dim.select(F.col(dim_id).alias("_id"), F.col(dim_title).alias("_title")), "_id", "left")
+    found = F.when(F.col("_title").isNotNull(), F.struct("_pos", "_title"))
+    titles = F.transform(F.array_sort(F.collect_list(found)), lambda s: s["_title"])
+    return named.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], titles.alias(out))
 
 
 def slug_join(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +37,7 @@ def place(heights: Sequence[int], start: Sequence[int]) -> tuple[list[int], list
     return cols, rows, tops
 
 
-def _fold(chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _fold(chunks: DataFrame, cell: list[str]) -> DataFrame:
     """Folds each chunk from its ``_start``; adds column, row, the end above its base, and the base."""
     schema = T.StructType(
         chunks.schema.fields
@@ -45,60 +45,70 @@ def _fold(chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
            T.StructField("_end", T.ArrayType(T.LongType())), T.StructField("_base", T.LongType())]
     )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_idx", kind="stable")
-        cols, rows, tops = place(pdf["height"].to_numpy(), pdf["_start"].iloc[0])
+    def fold(cards: pa.Table) -> pa.Table:
+        cards = cards.take(np.argsort(cards.column("_idx").to_numpy(), kind="stable"))
+        cols, rows, tops = place(cards.column("height").to_pylist(), cards.column("_start")[0].as_py())
         base = min(tops)
-        end = np.asarray(tops, dtype="int64") - base
-        return pdf.assign(
-            col=np.asarray(cols, dtype="int32"), row=np.asarray(rows, dtype="int64"),
-            _end=[end] * len(pdf), _base=np.int64(base),
+        n, end = cards.num_rows, [t - base for t in tops]
+        return (
+            cards.append_column("col", pa.array(cols, pa.int32()))
+            .append_column("row", pa.array(rows, pa.int64()))
+            .append_column("_end", pa.array([end] * n, pa.list_(pa.int64())))
+            .append_column("_base", pa.array([base] * n, pa.int64()))
         )
 
-    return chunks.groupBy(*keys, "_chunk").applyInPandas(fold, schema)
+    return chunks.groupBy(*cell).applyInArrow(fold, schema)
 
 
-def pack(films: DataFrame, k: int, keys: Sequence[str], order: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Adds ``col`` and ``row`` (both 0-based) to each film of each ``keys`` group."""
+def pack(
+    films: DataFrame,
+    ks: Sequence[int],
+    keys: Sequence[str],
+    order: Sequence[str],
+    split: str,
+    ties: Sequence[str] = (),
+    values: DataFrame | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """One row per film and column count ``k`` with the card's ``col`` and ``row`` (both 0-based).
+
+    ``order``, ``split`` and ``ties`` are the films' order as :func:`index_within` takes it. The size
+    of the largest day is looked up first, so this runs a small job when it is called.
+    """
     keys = list(keys)
-    seen = films.select(
-        *keys, "film_key", "height", "earliest_key",
-        F.col("first_seen.start_date").alias("_d"), F.col("first_seen.est").alias("_e"),
-        F.col("first_seen.event_id").alias("_id"), F.col("first_seen.session_pos").alias("_s"),
-    )
-    placed = index_within(seen, keys, ["earliest_key", "_d", "_e"], "_id", ["_s"], out="_idx").select(
-        *keys, "film_key", "height", "_idx", F.floor(F.col("_idx") / chunk).alias("_chunk"),
-        F.array_repeat(F.lit(0).cast("long"), k).alias("_start"),
+    indexed = index_within(films, keys, order, split, ties, out="_idx", values=values)
+    starts = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.array_repeat(F.lit(0).cast("long"), k).alias("_start")) for k in ks]
     )
+    chunks = indexed.select(
+        "*", F.floor(F.col("_idx") / chunk).alias("_chunk"), F.explode(starts).alias("_begin")
+    ).select(*films.columns, "_idx", "_chunk", "_begin.k", "_begin._start")
     largest = films.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= chunk:
-        done = _fold(placed, keys, k).select(*keys, "film_key", "col", "row")
-    else:
-        done = _settle(placed, keys, k)
-    return films.join(done, [*keys, "film_key"])
+    cell = [*keys, "k", "_chunk"]
+    done = _fold(chunks, cell) if largest <= chunk else _settle(chunks, [*keys, "k"])
+    return done.select(*films.columns, "k", "col", "row")
 
 
-def _settle(placed: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _settle(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Folds chunks in parallel until each starts where the one before it ends."""
-    cards = cut_lineage(placed.drop("_start"))
-    state = cut_lineage(_fold(placed, keys, k))
     cell = [*keys, "_chunk"]
+    cards = cut_lineage(chunks)
+    state = cut_lineage(_fold(cards, cell))
     while True:
         ends = state.groupBy(*cell).agg(F.first("_start").alias("_start"), F.first("_end").alias("_end"))
         before = ends.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_want"))
-        wrong = ends.join(before, cell).filter(F.col("_want") != F.col("_start")).select(*cell, "_want")
-        wrong = cut_lineage(wrong)
+        wrong = cut_lineage(
+            ends.join(before, cell).filter(F.col("_want") != F.col("_start")).select(*cell, "_want")
+        )
         if wrong.isEmpty():
             break
-        redo = cards.join(wrong.withColumnRenamed("_want", "_start"), cell).select(*placed.columns)
+        redo = cards.drop("_start").join(wrong.withColumnRenamed("_want", "_start"), cell).select(*cards.columns)
         kept = state.join(wrong.select(*cell), cell, "left_anti")
-        state = cut_lineage(kept.unionByName(_fold(redo, keys, k)))
+        state = cut_lineage(kept.unionByName(_fold(redo, cell)))
     bases = state.groupBy(*cell).agg(F.first("_base").alias("_base"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     lifted = bases.select(*cell, F.coalesce(F.sum("_base").over(earlier), F.lit(0)).alias("_lift"))
-    return state.join(lifted, cell).select(
-        *keys, "film_key", "col", (F.col("row") + F.col("_lift")).alias("row")
-    )
+    return state.join(lifted, cell).withColumn("row", F.col("row") + F.col("_lift"))
 
 
 def total_rows(packed: DataFrame, by: Sequence[str]) -> DataFrame:

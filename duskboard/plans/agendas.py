@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskboard.operators import agenda as G
-from duskboard.operators.films import balance_columns, film_groups
+from duskboard.operators.films import balance_columns, film_groups, order_films
 from duskboard.plans.registry import LIST, LOCALE, NOW, TODAY, query
 from duskboard.plans.reports import PAGES_SQL, pages_of
 from duskboard.sources.views import Tables
@@ -55,6 +55,13 @@ def film_day(t: Tables) -> DataFrame:
     return films.select("locale", "list_slug", "logical_date", "film_key", "title", "n_showtimes", "height", "earliest_key", "latest_time")
 
 
+@query("film_sort", "WITH " + FILMS_SQL + """
+SELECT logical_date, film_key, earliest_key, id1 AS first_event FROM films WHERE list_slug = 'film' AND locale = 'ca' ORDER BY logical_date, earliest_key, d1, e1, id1, s1""")
+def film_sort(t: Tables) -> DataFrame:
+    films = film_groups(G.day_agenda(film_list(t), TODAY))
+    return order_films(films).select("logical_date", "film_key", "earliest_key", F.col("first_seen.event_id").alias("first_event"))
+
+
 @query("balance_columns", "WITH RECURSIVE " + FILMS_SQL + """
 , o AS (SELECT locale, list_slug, logical_date, film_key, height, row_number() OVER (PARTITION BY locale, list_slug, logical_date ORDER BY earliest_key, d1, e1, id1, s1) AS i FROM films),
 rec AS (
@@ -67,12 +74,8 @@ rec AS (
 SELECT CAST(k AS INT) AS k, locale, list_slug, logical_date, film_key, col, "row" FROM rec WHERE i > 0""")
 def balance(t: Tables) -> DataFrame:
     by = ["locale", "list_slug"]
-    films = film_groups(pages_of(t), by)
-    out = None
-    for k in (1, 2, 3):
-        one = balance_columns(films, k, by).select(F.lit(k).alias("k"), *by, "logical_date", "film_key", bigint("col"), "row")
-        out = one if out is None else out.unionByName(one)
-    return out
+    placed = balance_columns(film_groups(pages_of(t), by), (1, 2, 3), by, t.events)
+    return placed.select("k", *by, "logical_date", "film_key", bigint("col"), "row")
 
 
 @query("agenda_as_of", "WITH " + PAGES_SQL + """

@@ -30,6 +30,24 @@ def whitelist_filter(t: Tables) -> DataFrame:
     return J.whitelist(t.event.select("event_id", "venue_id"), t.list_venue, t.event_category).select("list_id", "event_id")
 
 
+@query("distinct_events", """
+SELECT event_id, count(DISTINCT list_id) AS n_lists FROM (
+  SELECT lv.list_id, e.event_id FROM f_list_venue lv JOIN f_event e ON e.venue_id = lv.venue_id
+  WHERE lv.whitelist_category_id IS NULL OR EXISTS (
+    SELECT 1 FROM f_event_category ec WHERE ec.event_id = e.event_id AND ec.category_id = lv.whitelist_category_id)) GROUP BY event_id""")
+def distinct_events(t: Tables) -> DataFrame:
+    """Rows per event after overlapping memberships have collapsed: one for each list."""
+    hits = J.list_events(t.list, t.list_venue, t.venue, t.event.select("event_id", "venue_id"), t.event_category)
+    return hits.groupBy("event_id").agg(F.count("*").alias("n_lists"))
+
+
+@query("translation_join", """
+SELECT e.event_id, coalesce(t.title, e.title) AS title, coalesce(t.source_url, e.source_url) AS source_url
+FROM f_event e LEFT JOIN f_translation t ON t.event_id = e.event_id AND t.lang = 'es'""")
+def translation_join(t: Tables) -> DataFrame:
+    return J.localize(t.event.select("event_id", "title", "source_url"), t.translation, "es")
+
+
 @query("enrich_from_detail", """
 WITH d AS (SELECT source_url, min(description) AS description, min(price) AS price, min(title) AS title FROM f_event GROUP BY source_url)
 SELECT e.event_id, coalesce(e.price, d.price) AS price, coalesce(d.description, e.description) AS description, coalesce(e.title, d.title) AS title

@@ -118,6 +118,12 @@ def film_key(t: Tables) -> DataFrame:
     return t.event.select("event_id", X.strip_bracket_suffix("title").alias("bare"), X.film_key("title").alias("film_key"))
 
 
+@query("strip_bracket_suffix", r"""
+SELECT event_id, trim(regexp_replace(packed, '\s*[(\[][^()\[\]]*[)\]]\s*$', '')) AS packed, trim(regexp_replace(with_tag, '\s*[(\[][^()\[\]]*[)\]]\s*$', '')) AS tagged FROM f_packed""")
+def strip_bracket_suffix(t: Tables) -> DataFrame:
+    return t.packed.select("event_id", X.strip_bracket_suffix("packed").alias("packed"), X.strip_bracket_suffix("with_tag").alias("tagged"))
+
+
 @query("split_title", r"""
 WITH a AS (
   SELECT event_id, with_series, with_tag, packed,
