@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskboard.functions.dates import parse_time_any
 from duskboard.functions.text import clean_text, strip_html
+from duskboard.operators.sequences import forward_fill
 
 #: Patterns tried in order per field; the first non-empty hit wins. Group 1 is the value.
 PAGE_FIELDS: dict[str, list[str]] = {
@@ -164,29 +165,28 @@ def schedule_segments(
 
     ``lines`` holds ``left_text`` and ``right_text``. A price line sets the event's price, a ``&``
     line and all others continue its text; an event whose opening line has no title takes the first
-    continuing one. Events without a day, a time or a title are dropped. Windows run inside one
-    document, and what is gathered is one event's own lines.
+    continuing one. Events without a day, a time or a title are dropped. An event is known by its
+    opening line; what is gathered is one event's own text.
     """
     left = F.lower(F.trim("left_text"))
     right = F.trim("right_text")
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     is_date = left.rlike(date_line)
     marked = (
         lines.withColumn("_start", is_date | left.rlike(time_line))
-        .withColumn("_head", F.when(is_date, F.regexp_extract(left, date_line, 0)))
+        .withColumn("day_text", F.when(is_date, F.regexp_extract(left, date_line, 0)))
+        .withColumn("start_line", F.when(F.col("_start"), F.col(pos)))
         .withColumn("_time", F.when(F.col("_start"), parse_time_any(F.regexp_replace(left, date_line, ""))))
         .withColumn("_price", F.when(~F.col("_start"), F.nullif(F.regexp_extract(left, PRICE_LINE, 1), F.lit(""))))
         .withColumn("_amp", F.startswith(left, F.lit("&")))
-        .withColumn("segment", F.sum(F.when(F.col("_start"), 1).otherwise(0)).over(w))
-        .withColumn("day_text", F.last("_head", ignorenulls=True).over(w))
     )
+    opened = forward_fill(marked, ["day_text", "start_line"], doc, pos).filter(F.col("start_line").isNotNull())
     aside = F.col("_price").isNotNull() | F.col("_amp")
     text = F.when(right != "", right).when(~aside & (left != ""), F.trim("left_text"))
     piece = F.when(
         ~F.col("_start") & text.isNotNull(),
         F.struct(F.col(pos).alias("p"), text.alias("t"), (~aside & (right != "")).alias("plain")),
     )
-    events = marked.filter("segment > 0").groupBy(doc, "segment").agg(
+    events = opened.groupBy(doc, "start_line").agg(
         F.max("day_text").alias("day_text"),
         F.max("_time").alias("start_time"),
         F.max(F.when(F.col("_start"), right)).alias("_title"),
@@ -200,7 +200,7 @@ def schedule_segments(
     return (
         events.withColumn("_late", late)
         .select(
-            doc, "segment", "day_text", "start_time",
+            doc, "start_line", "day_text", "start_time",
             F.coalesce(F.nullif("_title", F.lit("")), F.col("_late.t")).alias("title"),
             F.concat("_price", F.lit("€")).alias("price"),
             F.array_join(F.transform(body, lambda s: s["t"]), " ").alias("description"),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskboard.functions.text import capital_count, film_key, strip_bracket_suffix
+from duskboard.operators.packing import pack
+from duskboard.operators.ranking import index_within
 
 
 def _seen():
@@ -46,23 +48,19 @@ def film_groups(agenda: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def film_showtimes(agenda: DataFrame) -> DataFrame:
-    """The agenda's rows under their film."""
-    return agenda.withColumn("film_key", film_key("title"))
+def film_showtimes(agenda: DataFrame, by: Sequence[str] = (), events: DataFrame | None = None) -> DataFrame:
+    """The agenda's rows under their film, each with its 0-based position among the film's showtimes.
 
-
-def nested_showtimes(agenda: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Film groups with their showtimes as one sorted array: the shape of a single rendered page.
-
-    For the page sink only; an array grows with its film's showtimes. Reports and joins use
-    :func:`film_groups` and :func:`film_showtimes`, which never gather a group.
+    Showtimes stay rows, so a film with very many is never gathered; ``events`` is where the ids
+    come from.
     """
-    rows = agenda.withColumn("film_key", film_key("title"))
-    return rows.groupBy(*by, "logical_date", "film_key").agg(
-        F.array_sort(F.collect_list(F.struct(_seen().alias("order"), "start_time", "event_id", "venue_name"))).alias(
-            "showtimes"
-        )
+    rows = agenda.withColumn("film_key", film_key("title")).withColumn(
+        "_est", F.coalesce("event_start_time", F.lit(""))
     )
+    return index_within(
+        rows, [*by, "logical_date", "film_key"], ["time_key", "start_date", "_est"], "event_id", ["session_pos"],
+        out="showtime_no", values=events,
+    ).drop("_est")
 
 
 def order_films(films: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -79,8 +77,6 @@ def balance_columns(
     with one gutter row between cards. See :mod:`duskboard.operators.packing` for how days of any
     size are packed. ``events`` is where the event ids come from.
     """
-    from duskboard.operators.packing import pack
-
     flat = films.select(
         *by, "logical_date", "film_key", "title", "height", "earliest_key",
         F.col("first_seen.start_date").alias("_d"), F.col("first_seen.est").alias("_e"),

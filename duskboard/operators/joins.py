@@ -65,21 +65,28 @@ def localize(events: DataFrame, translations: DataFrame, locale: str) -> DataFra
 def localize_all(events: DataFrame, translations: DataFrame, locales: Sequence[str]) -> DataFrame:
     """Every event once per locale.
 
-    An event's translations (one per language) are put in one map and joined by event_id alone, so
+    An event's translations become one row with a column per language, joined by event_id alone, so
     events already partitioned by it are not shuffled again; the locales fan out afterwards.
     """
     entry = F.struct(F.col("title").alias("t"), F.col("source_url").alias("u"))
     per_event = translations.filter(F.col("lang").isin(*locales)).groupBy("event_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", entry))).alias("_tr")
+        *[F.max(F.when(F.col("lang") == x, entry)).alias(f"_tr_{x}") for x in locales]
     )
-    out = events.join(per_event, "event_id", "left").withColumn(
-        "locale", F.explode(F.array(*[F.lit(x) for x in locales]))
+    versions = F.array(
+        *[
+            F.struct(
+                F.lit(x).alias("locale"),
+                F.coalesce(F.col(f"_tr_{x}.t"), F.col("title")).alias("title"),
+                F.coalesce(F.col(f"_tr_{x}.u"), F.col("source_url")).alias("source_url"),
+            )
+            for x in locales
+        ]
     )
-    own = F.try_element_at("_tr", F.col("locale"))
+    rest = [c for c in events.columns if c not in ("title", "source_url")]
     return (
-        out.withColumn("title", F.coalesce(own["t"], F.col("title")))
-        .withColumn("source_url", F.coalesce(own["u"], F.col("source_url")))
-        .drop("_tr")
+        events.join(per_event, "event_id", "left")
+        .select(*rest, F.explode(versions).alias("_v"))
+        .select(*rest, "_v.*")
     )
 
 

@@ -91,7 +91,7 @@ def select_venues(
     if slugs is not None:
         wanted = venues.sparkSession.createDataFrame([(s,) for s in slugs], "slug string")
         have = venues.select("slug", F.lit(True).alias("known")).filter(F.col("slug").isin(*slugs))
-        return F.broadcast(wanted).join(have, "slug", "left").select(
+        return wanted.join(have, "slug", "left").select(
             "slug", F.coalesce("known", F.lit(False)).alias("known")
         )
     if category is not None:

@@ -86,17 +86,17 @@ def reconstruct_lines(t: Tables) -> DataFrame:
 WITH l AS (SELECT doc_id, line_no, lower(trim(left_text)) AS l, trim(left_text) AS raw_left, trim(right_text) AS r FROM f_schedule),
 a AS (SELECT *, regexp_matches(l, '^[0-9]{1,2}/[0-9]{1,2}') AS is_date,
   regexp_matches(l, '^([0-9]{1,2}(:[0-9]{2}h?|h)\b)') OR regexp_matches(l, '^[0-9]{1,2}/[0-9]{1,2}') AS is_start FROM l),
-b AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER w AS segment,
+b AS (SELECT *, last_value(CASE WHEN is_start THEN line_no END IGNORE NULLS) OVER w AS segment,
   last_value(CASE WHEN is_date THEN regexp_extract(l, '^[0-9]{1,2}/[0-9]{1,2}') END IGNORE NULLS) OVER w AS day_text,
   CASE WHEN is_start THEN CASE WHEN is_date THEN '20:30' ELSE '22:00' END END AS t,
   CASE WHEN NOT is_start THEN nullif(regexp_extract(l, '([0-9]+)\s*€', 1), '') END AS price, starts_with(l, '&') AS amp
   FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 c AS (SELECT *, NOT is_start AND price IS NULL AND NOT amp AND r <> '' AS plain,
-  CASE WHEN is_start THEN NULL WHEN r <> '' THEN r WHEN price IS NULL AND NOT amp AND l <> '' THEN raw_left END AS piece FROM b WHERE segment > 0),
+  CASE WHEN is_start THEN NULL WHEN r <> '' THEN r WHEN price IS NULL AND NOT amp AND l <> '' THEN raw_left END AS piece FROM b WHERE segment IS NOT NULL),
 g AS (SELECT doc_id, segment, max(day_text) AS day_text, max(t) AS start_time, max(CASE WHEN is_start THEN r END) AS head,
   arg_max(price, line_no) FILTER (price IS NOT NULL) AS price, min(CASE WHEN plain THEN line_no END) AS first_plain, count(*) AS n_lines FROM c GROUP BY doc_id, segment),
 x AS (SELECT g.*, CASE WHEN head = '' THEN first_plain END AS late FROM g)
-SELECT x.doc_id, x.segment, x.day_text, x.start_time, coalesce(nullif(head, ''), max(CASE WHEN c.line_no = late THEN c.piece END)) AS title, x.price || '€' AS price,
+SELECT x.doc_id, x.segment AS start_line, x.day_text, x.start_time, coalesce(nullif(head, ''), max(CASE WHEN c.line_no = late THEN c.piece END)) AS title, x.price || '€' AS price,
   coalesce(string_agg(c.piece, ' ' ORDER BY c.line_no) FILTER (late IS NULL OR c.line_no <> late), '') AS description, x.n_lines
 FROM x JOIN c ON c.doc_id = x.doc_id AND c.segment = x.segment
 GROUP BY x.doc_id, x.segment, x.day_text, x.start_time, head, x.price, late, x.n_lines

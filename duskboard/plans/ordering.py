@@ -66,7 +66,7 @@ def backward_fill(t: Tables) -> DataFrame:
     tokens = t.date_text.select("event_id", F.posexplode(
         F.regexp_extract_all(F.lower("raw"), F.lit("([0-9]+|[a-zç]+)"), F.lit(1))).alias("pos", "token"))
     named = tokens.withColumn("next_month", F.when(F.col("token").rlike(f"^({MONTH_PATTERN})$"), month_number("token")))
-    filled = S.backward_fill(named, "next_month", "event_id", "pos")
+    filled = S.backward_fill(named, ["next_month"], "event_id", "pos")
     return filled.filter(F.col("token").rlike("^[0-9]{1,2}$")).select(
         "event_id", F.col("pos").cast("bigint").alias("pos"), F.col("token").cast("int").alias("day"), "next_month")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duskboard.operators import packing
 from duskboard.operators.agenda import with_day
-from duskboard.operators.films import balance_columns, film_groups, nested_showtimes
+from duskboard.operators.films import balance_columns, film_groups, film_showtimes
 from duskboard.operators.packing import pack, place, total_rows
 
 DAY = dt.date(2026, 6, 8)
@@ -28,8 +28,8 @@ def test_variants_of_a_title_are_one_film(spark):
 def test_showtimes_are_sorted_with_the_small_hours_last(spark):
     rows = agenda(spark, [(1, "A", "20:25"), (2, "A", "15:50"), (3, "A", "00:10"), (4, "A", None)])
     # 00:10 of this date belongs to the evening before.
-    got = {r.logical_date: [s.start_time for s in r.showtimes] for r in nested_showtimes(rows).collect()}
-    assert got == {DAY: [None, "15:50", "20:25"], DAY - dt.timedelta(days=1): ["00:10"]}
+    got = sorted((r.logical_date, r.showtime_no, r.start_time) for r in film_showtimes(rows).collect())
+    assert got == [(DAY - dt.timedelta(days=1), 0, "00:10"), (DAY, 0, None), (DAY, 1, "15:50"), (DAY, 2, "20:25")]
 
 
 def placed(spark, rows):

@@ -1,6 +1,7 @@
 import datetime as dt
 import shutil
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_merge import staged, store
 
@@ -35,7 +36,7 @@ def test_schedule(spark):
     lines = [("intro", "x"), ("12/06 20:30H", "ANNA TRIO"), ("", "soul"), ("8 €", "and more"), ("22H", ""), ("", "LATE JAM"), ("& 23H", "second set"),
              ("13/06 21H", "SOLO"), ("piano", "")]
     df = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(lines)], "doc_id long, line_no long, left_text string, right_text string")
-    got = [(r.day_text, r.start_time, r.title, r.price, r.description) for r in X.schedule_segments(df).orderBy("segment").collect()]
+    got = [(r.day_text, r.start_time, r.title, r.price, r.description) for r in X.schedule_segments(df).orderBy("start_line").collect()]
     assert got == [("12/06", "20:30", "ANNA TRIO", "8€", "soul and more"), ("12/06", "22:00", "LATE JAM", None, "second set"),
                    ("13/06", "21:00", "SOLO", None, "piano")]
 
@@ -50,6 +51,30 @@ def test_reading_order(spark):
     assert [r.date for r in dated] == [d(2026, 12, 30), d(2026, 12, 31), d(2027, 1, 1), d(2027, 1, 31), d(2026, 12, 5)]
 
 
+def test_one_long_page_reads_like_a_short_one(spark):
+    """A page far longer than one range: fills and month changes cross the cuts."""
+    n = 6000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 17 == 0, 2).otherwise(1).alias("page_id"), F.col("id").alias("pos"),
+        F.when(F.col("id") % 1501 == 3, F.col("id").cast("string")).alias("h"), (1 + F.col("id") * 7 % 28).alias("day"),
+        F.lit(dt.date(2026, 1, 1)).alias("m"))
+    w = Window.partitionBy("page_id").orderBy("pos")
+    plain = rows.select(
+        "page_id", "pos",
+        F.last("h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("down"),
+        F.first("h", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("up"),
+        F.when(F.col("day") < F.lag("day").over(w), 1).otherwise(0).alias("wrap"), "day", "m")
+    months = F.sum("wrap").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    plain = plain.withColumn("date", F.date_add(F.add_months("m", months), F.col("day").cast("int") - 1))
+
+    def rows_of(df, col):
+        return sorted((r.page_id, r.pos, str(r[col])) for r in df.select("page_id", "pos", col).collect())
+
+    assert rows_of(S.forward_fill(rows, "h"), "h") == rows_of(plain, "down")
+    assert rows_of(S.backward_fill(rows, "h"), "h") == rows_of(plain, "up")
+    assert rows_of(S.roll_months(rows, "m"), "date") == rows_of(plain, "date")
+
+
 def test_keyed_feed(spark):
     df = spark.createDataFrame([(1, '{"a":{"t":"x"},"b":{"t":null}}'), (2, "{bad")], "id int, doc string")
     parsed = parse_feed(df, "doc", "map<string,struct<t:string>>").drop("doc")
