@@ -1,8 +1,8 @@
 """Joins of listings with what belongs to them.
 
-No side is broadcast by hand: sizes are left to Spark's threshold and to adaptive execution,
-which also splits skewed partitions. Literal lookup tables (at most a few dozen rows) travel as
-map expressions instead of joins.
+A side is broadcast by hand only behind a count (:func:`broadcast_if_small`). Otherwise sizes are left
+to Spark's threshold and to adaptive execution, which also splits skewed partitions. Literal lookup
+tables (at most a few dozen rows) travel as map expressions instead of joins.
 """
 
 from __future__ import annotations
@@ -13,21 +13,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a side is sent to every task. The tables meant are lists and venues: short rows.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint, given only after counting; a larger side is left to a shuffled join.
+
+    The count stops at ``max_rows``, so the check is cheap whatever the size.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def whitelist(df: DataFrame, memberships: DataFrame, event_categories: DataFrame) -> DataFrame:
     """Events of each list membership that pass its whitelist; a null whitelist passes all.
 
-    ``memberships`` holds ``list_id, venue_id, whitelist_category_id``. An event that a list
-    reaches through several memberships comes back once per list.
+    ``memberships`` holds ``list_id, venue_id, whitelist_category_id`` and any columns that belong to
+    the list or the venue. An event that a list reaches through several memberships comes back once.
     """
-    small = memberships.select("list_id", "venue_id", "whitelist_category_id").distinct()
+    keys = [c for c in memberships.columns if c != "whitelist_category_id"]
     # One row per (list, venue): either the whole venue or the set of admitted categories.
-    rules = small.groupBy("list_id", "venue_id").agg(
+    rules = memberships.groupBy(*keys).agg(
         F.bool_or(F.col("whitelist_category_id").isNull()).alias("_whole"),
         F.collect_set("whitelist_category_id").alias("_allowed"),
     )
     owned = event_categories.groupBy("event_id").agg(F.collect_set("category_id").alias("_has"))
-    # One pass: the events are shuffled by event_id once, and later joins on it reuse that.
-    reached = df.join(rules, "venue_id").join(owned, "event_id", "left")
+    # The events are shuffled by event_id once, here; later joins on it reuse that.
+    reached = df.join(broadcast_if_small(rules), "venue_id").join(owned, "event_id", "left")
     passes = F.col("_whole") | F.coalesce(F.arrays_overlap("_has", "_allowed"), F.lit(False))
     return reached.filter(passes).drop("_whole", "_allowed", "_has")
 
@@ -40,13 +52,17 @@ def list_events(
     event_categories: DataFrame,
     slug: str | None = None,
 ) -> DataFrame:
-    """Distinct events of one list, or of every list, with ``list_slug`` and ``venue_name``."""
+    """Distinct events of one list, or of every list, with ``list_slug`` and ``venue_name``.
+
+    Lists, memberships and venues meet first, so that the events are joined with one small table.
+    """
     chosen = lists if slug is None else lists.filter(F.col("slug") == slug)
-    members = list_venues.join(chosen.select("list_id", F.col("slug").alias("list_slug")), "list_id")
-    slugs = members.select("list_id", "list_slug").distinct()
-    named = venues.select("venue_id", F.col("name").alias("venue_name"))
-    hits = whitelist(events, members, event_categories)
-    return hits.join(slugs, "list_id").join(named, "venue_id").drop("list_id")
+    members = (
+        list_venues.select("list_id", "venue_id", "whitelist_category_id")
+        .join(chosen.select("list_id", F.col("slug").alias("list_slug")), "list_id")
+        .join(venues.select("venue_id", F.col("name").alias("venue_name")), "venue_id")
+    )
+    return whitelist(events, members, event_categories).drop("list_id")
 
 
 def localize(events: DataFrame, translations: DataFrame, locale: str) -> DataFrame:
