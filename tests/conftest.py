@@ -10,7 +10,8 @@ from duskboard.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "tests", **{"spark.sql.shuffle.partitions": "4"})
+    # Tiny rows: compiling stages would take longer than running them.
+    session = local_session("4", "tests", **{"spark.sql.shuffle.partitions": "3", "spark.sql.codegen.wholeStage": "false"})
     yield session
     session.stop()
 
