@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, bounded_by: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint, given only after counting; a larger side is left to a shuffled join.
 
-    The count stops at ``max_rows``, so the check is cheap whatever the size.
+    ``bounded_by`` may name a table with at least as many rows that is cheaper to count, such as the
+    stored one ``df`` is made from. The count stops at ``max_rows``.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    counted = df if bounded_by is None else bounded_by
+    return F.broadcast(df) if counted.limit(max_rows + 1).count() <= max_rows else df
 
 
-def whitelist(df: DataFrame, memberships: DataFrame, event_categories: DataFrame) -> DataFrame:
+def whitelist(
+    df: DataFrame, memberships: DataFrame, event_categories: DataFrame, bounded_by: DataFrame | None = None
+) -> DataFrame:
     """Events of each list membership that pass its whitelist; a null whitelist passes all.
 
     ``memberships`` holds ``list_id, venue_id, whitelist_category_id`` and any columns that belong to
     the list or the venue. An event that a list reaches through several memberships comes back once.
+    ``bounded_by`` is the table whose size decides on broadcasting, the memberships by default.
     """
     keys = [c for c in memberships.columns if c != "whitelist_category_id"]
     # One row per (list, venue): either the whole venue or the set of admitted categories.
@@ -39,7 +44,7 @@ def whitelist(df: DataFrame, memberships: DataFrame, event_categories: DataFrame
     )
     owned = event_categories.groupBy("event_id").agg(F.collect_set("category_id").alias("_has"))
     # The events are shuffled by event_id once, here; later joins on it reuse that.
-    reached = df.join(broadcast_if_small(rules), "venue_id").join(owned, "event_id", "left")
+    reached = df.join(broadcast_if_small(rules, memberships if bounded_by is None else bounded_by), "venue_id").join(owned, "event_id", "left")
     passes = F.col("_whole") | F.coalesce(F.arrays_overlap("_has", "_allowed"), F.lit(False))
     return reached.filter(passes).drop("_whole", "_allowed", "_has")
 
@@ -62,7 +67,7 @@ def list_events(
         .join(chosen.select("list_id", F.col("slug").alias("list_slug")), "list_id")
         .join(venues.select("venue_id", F.col("name").alias("venue_name")), "venue_id")
     )
-    return whitelist(events, members, event_categories).drop("list_id")
+    return whitelist(events, members, event_categories, bounded_by=list_venues).drop("list_id")
 
 
 def localize(events: DataFrame, translations: DataFrame, locale: str) -> DataFrame:
