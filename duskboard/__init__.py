@@ -1 +1,8 @@
-"""City event listings as Spark DataFrame jobs: clean, expand, upsert and assemble agendas."""
+"""City event listings on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

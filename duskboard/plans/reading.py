@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +11,11 @@ from duskboard.operators.agenda import all_pages
 from duskboard.plans.registry import TODAY, query
 from duskboard.sources.entities import read_pages
 from duskboard.sources.feeds import parse_feed
+from duskboard.session import new_folder
 from duskboard.sources.sinks import publish, write_events
 from duskboard.sources.views import Tables
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a query that writes: in the shared folder the cluster names, if any."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
-
-
 @query("scan_entities", """
 SELECT 'city' AS entity, count(*) AS n, CAST(min(city_id) AS VARCHAR) AS first_key FROM f_city
 UNION ALL SELECT 'category', count(*), CAST(min(category_id) AS VARCHAR) FROM f_category
@@ -64,7 +54,7 @@ def scan_json_feed(t: Tables) -> DataFrame:
 SELECT venue_slug, count(*) AS n, CASE WHEN venue_slug = 'venue-2' THEN count(*) ELSE count(*) FILTER (price = 'free') END AS n_free FROM f_event GROUP BY venue_slug""")
 def sink_events(t: Tables) -> DataFrame:
     """Writes all venues, then one venue's changed rows again; the others must be as they were."""
-    path = scratch(t.spark, "events")
+    path = new_folder(t.spark, "events")
     events = t.event.select("event_id", "venue_slug", "title", "start_date", "start_time", "price")
     write_events(events, path)
     write_events(events.filter("venue_slug = 'venue-2'").withColumn("price", F.lit("free")), path)
@@ -84,7 +74,7 @@ SELECT locale, list_slug, count(*) AS n, count(t) AS n_timed, count(DISTINCT log
 FROM d, (VALUES ('ca'), ('es'), ('en')) AS v(locale) WHERE logical_date >= DATE '2024-01-15' GROUP BY ALL""")
 def publish_agenda(t: Tables) -> DataFrame:
     pages = all_pages(t.list, t.list_venue, t.venue, t.event, t.event_category, t.translation, TODAY, LOCALES)
-    path = scratch(t.spark, "agenda")
+    path = new_folder(t.spark, "agenda")
     publish(pages, path, "parquet")
     stored = t.spark.read.schema(pages.schema).parquet(path)
     return stored.groupBy("locale", "list_slug").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +27,39 @@ def local_session(cores: str = "8", app: str = "duskboard", **conf: str) -> Spar
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    A folder is made up only when the session names none, which is the case in tests.
+    Only a local session may go without; it gets a temporary folder. On a cluster a machine-local
+    folder would hold a part of the rows on every executor, so its absence is an error.
     """
-    spark = df.sparkSession
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: lineage is cut, and every later use reads
+    the same rows, also after executors are lost."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
