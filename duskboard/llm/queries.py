@@ -106,7 +106,7 @@ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
     list_filter(string_split(text, chr(10)), lambda x: trim(x, {_WS}) <> '') AS lines FROM t),
 p AS (SELECT r, unnest(range(1, greatest(len(words) - 1, 1))) AS i, words FROM w WHERE len(words) > 2),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM p),
-rep AS (SELECT r, count(DISTINCT at) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS at FROM g WHERE n > 1) GROUP BY r),
+rep AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM g WHERE n > 1) GROUP BY r),
 m AS (SELECT doc_id, text, words, lines, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words

@@ -26,7 +26,9 @@ RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Lengths of common digests in hex digits: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/+=-]*")
+RUNS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: A long string is encoded in parts of so many characters.
+PART = 256
 
 
 def default_vocabulary() -> str:
@@ -50,8 +52,9 @@ def is_known(text: str) -> bool:
         return True
     if len(text) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         return True
-    parts = WORDS.fullmatch(text)
-    return bool(parts) and sum(len(x) for x in re.findall(r"[a-z]{4,}|[A-Z]{4,}", text)) * 2 >= len(text)
+    runs = RUNS.findall(text)
+    words = sum(len(r) for r in runs if len(r) >= 4 and not r.isdigit())
+    return 2 * words >= len(text) and all(len(r) <= 4 for r in runs if r.isdigit())
 
 
 def finder(vocabulary: str, ratio: float) -> Callable[[str], list[Span]]:
@@ -70,7 +73,8 @@ def finder(vocabulary: str, ratio: float) -> Callable[[str], list[Span]]:
         if longest >= 20:
             for m in RANDOM.finditer(text):
                 if not is_known(m[0]):
-                    each = len(m[0]) / len(encoding.encode_ordinary(m[0]))
+                    parts = (m[0][i : i + PART] for i in range(0, len(m[0]), PART))
+                    each = len(m[0]) / sum(len(encoding.encode_ordinary(p)) for p in parts)
                     if each < ratio:
                         out.append(("random", m.start(), m.end(), min(1.0, ratio / each / 2)))
         return sorted(out, key=lambda s: (s[1], ORDER[s[0]]))
