@@ -36,8 +36,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
-    return packed(docs)
+    """The pieces of the training sequences. Workers remember fewer parts than they do for packing alone, as what they
+    remember stays beside the memory of the other stages."""
+    return packed(docs, remembered=300_000)
 
 
 STAGES = [

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from duskboard.llm.frames import id_and_text, slices
-from duskboard.llm.tokens import END, worker_encoder
+from duskboard.llm.tokens import END, REMEMBERED, worker_encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 ARROW = pa.schema([
@@ -71,6 +71,7 @@ def pack(
     window_tokens: int = 4_000_000,
     linear: float = 1.0,
     quadratic: float = 1 / 1024,
+    remembered: int = REMEMBERED,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -78,12 +79,12 @@ def pack(
 
     Every document ends with id 0, so an empty or null text is the one id 0. Repeated rows are packed as often
     as they come, null ids stay null, other columns are ignored, an empty table gives no rows. A document longer
-    than a sequence fills sequences of its own first. ``window_tokens`` bounds a task's memory; windows cost no
-    padding, as each is filled exactly.
+    than a sequence fills sequences of its own first. ``window_tokens`` and ``remembered``, the parts of texts whose ids a worker
+    remembers, bound a task's memory; windows cost no padding, as each is filled exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary)
+        encoder = worker_encoder(vocabulary, remembered)
         sequence = TaskContext.get().partitionId() << 33
         rests, waiting, out, size = [], 0, [], 0
 

@@ -20,8 +20,8 @@ def op1_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(docs, VOCABULARY).select(
+def packed(docs: DataFrame, **settings) -> DataFrame:
+    return packing.pack(docs, VOCABULARY, **settings).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost"
     )
 

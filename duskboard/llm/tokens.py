@@ -17,6 +17,8 @@ from duskboard.llm.frames import kept_in_worker
 
 #: The id that ends a document.
 END = b"\0\0\0\0"
+#: Parts a worker remembers; about 200 bytes each.
+REMEMBERED = 1_200_000
 PART = re.compile(r"\s*\S+|\s+")
 
 
@@ -25,7 +27,7 @@ class Encoder:
 
     LONGEST = 48
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -76,6 +78,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, limit: int = REMEMBERED) -> Encoder:
     """The encoder of this worker process; it is loaded once and keeps the parts it knows between tasks."""
-    return kept_in_worker(("encoder", path), lambda: Encoder(path))
+    return kept_in_worker(("encoder", path, limit), lambda: Encoder(path, limit))
