@@ -26,12 +26,7 @@ PRICE_LABELS = {
 }
 LOCALES = ["ca", "es", "en"]
 
-# Words that decide a category on their own.
-KIDS_WORDS = (
-    "taller\\s+familiar|tallers?\\s+en\\s+famili|per\\s+a\\s+infants|extraescolar|escolars?|"
-    "per\\s+a\\s+escoles?|família|elpetit|el petit|familiar"
-)
-CLUB_WORDS = "strictly vinyl|discoth|dj [a-z0-9]|listening session|vinyl sharing|open decks"
+# Words of a badge.
 CANCELLED_WORDS = "cancel"
 SOLD_OUT_WORDS = "sold\\s*out|exhaurit|esgotad|esgotat"
 
@@ -118,10 +113,10 @@ def order_categories(arr: Column | str, first: str = "theater") -> Column:
     )
 
 
-def is_truthy(c: Column | str) -> Column:
-    """Feed flags that come as '', '0', 'false', 'no', '1', 'true' ..."""
-    text = F.lower(F.trim(_col(c).cast("string")))
-    return F.coalesce(~text.isin("", "0", "false", "no"), F.lit(False))
+def feed_flag(c: Column | str) -> Column:
+    """A feed's flag as a boolean: false where it is missing, blank, a nought, or a word for no."""
+    given = F.trim(_col(c).cast("string"))
+    return F.when(given.isNull() | given.rlike(r"(?i)^(|0+(\.0+)?|no?|f|false)$"), False).otherwise(True)
 
 
 def status_override(label: Column | str, price: Column | str) -> Column:

@@ -183,56 +183,37 @@ def year_before_end(day: Column, month: Column, end: Column) -> Column:
 _OF = rf"\s+d(?:e\s+|['’]\s*)([{_LETTERS}]+)"
 
 
-def _days_to_dates(days: Column, year: Column, month: Column) -> Column:
-    return F.array_compact(F.transform(days, lambda d: ymd(year, month, d)))
-
-
 def catalan_dates(c: Column | str, today: Column) -> Column:
-    """``array<date>`` of a Catalan phrase without a year.
+    """``array<date>`` of a Catalan phrase without a year, sorted.
 
-    Reads a cross-month pair, a range with extra days, a two-day list or a single day, in that
-    order; days that do not exist are dropped.
+    The phrase is read as words from its end: a month, named after "de" or "d'", holds for all days before it
+    up to the next month; a day before "al" opens the range to the day behind. Days that do not exist are dropped.
     """
-    text = F.lower(F.trim(_col(c)))
-    none = F.array().cast("array<date>")
-
-    def resolved(month: Column, days: Column) -> Column:
-        return _days_to_dates(days, next_month_year(month, today), month)
-
-    pair = rf"([0-9]{{1,2}}){_OF}\s+i\s+([0-9]{{1,2}}){_OF}"
-    m1 = month_number(F.regexp_extract(text, pair, 2), prefix=True)
-    m2 = month_number(F.regexp_extract(text, pair, 4), prefix=True)
-    pair_dates = F.concat(
-        resolved(m1, F.array(_int(text, pair, 1))), resolved(m2, F.array(_int(text, pair, 3)))
-    )
-    is_pair = m1.isNotNull() & m2.isNotNull() & ~F.contains(text, F.lit("del")) & (F.size(pair_dates) > 0)
-
-    run = r"del\s+([0-9]{1,2})\s+al\s+([0-9]{1,2})(.*)$"
-    rest = F.regexp_extract(text, run, 3)
-    last_month = month_number(F.regexp_extract(text, rf"^.*{_OF}", 1), prefix=True)
-    first, last = _int(text, run, 1), _int(text, run, 2)
-    span = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    extras = F.transform(
-        F.regexp_extract_all(rest, F.lit(r"\b([0-9]{1,2})\b"), F.lit(1)), lambda t: t.cast("int")
-    )
-    run_dates = F.array_sort(F.array_distinct(resolved(last_month, F.concat(span, extras))))
-    is_run = first.isNotNull() & last_month.isNotNull()
-
-    two = rf"([0-9]{{1,2}})\s+i\s+([0-9]{{1,2}}){_OF}"
-    m = month_number(F.regexp_extract(text, two, 3), prefix=True)
-    two_dates = resolved(m, F.array(_int(text, two, 1), _int(text, two, 2)))
+    state = "struct<month: int, behind: int, open: boolean, found: array<date>>"
+    nothing = F.struct(F.lit(None), F.lit(None), F.lit(False), F.array()).cast(state)
+
+    def step(acc: Column, token: Column) -> Column:
+        word, before = token["word"], token["before"]
+        day = F.when(F.char_length(word) <= 2, word.try_cast("int"))
+        month = F.when(before.isin("de", "d"), month_number(word, prefix=True))
+        ranged = acc["open"] & (day <= acc["behind"])
+        days = F.when(ranged, F.sequence(day, F.greatest(day, acc["behind"]))).otherwise(F.array(day))
+        year = next_month_year(acc["month"], today)
+        dates = F.transform(days, lambda d: ymd(year, acc["month"], d))
+        read = F.struct(acc["month"], day, F.lit(False), F.concat(acc["found"], F.array_compact(dates)))
+        return (
+            F.when(day.isNotNull(), read.cast(state))
+            .when(month.isNotNull(), F.struct(month, F.lit(None), F.lit(False), acc["found"]).cast(state))
+            .otherwise(F.struct(acc["month"], acc["behind"], acc["open"] | (word == "al"), acc["found"]).cast(state))
+        )
 
-    one = rf"\b([0-9]{{1,2}}){_OF}"
-    m_one = month_number(F.regexp_extract(text, one, 2), prefix=True)
-    one_date = resolved(m_one, F.array(_int(text, one, 1)))
+    def read(words: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), words)
+        tokens = F.zip_with(words, F.slice(before, F.lit(1), F.size(words)), lambda w, b: F.struct(w.alias("word"), b.alias("before")))
+        return F.array_sort(F.array_distinct(F.aggregate(F.reverse(tokens), nothing, step)["found"]))
 
-    return (
-        F.when(is_pair, pair_dates)
-        .when(is_run, run_dates)
-        .when(m.isNotNull(), two_dates)
-        .when(m_one.isNotNull(), one_date)
-        .otherwise(none)
-    )
+    words = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[0-9]+|\p{L}+"), F.lit(0))
+    return F.coalesce(let(words, read), F.array().cast("array<date>"))
 
 
 _DATED = rf"([0-9]{{1,2}})\s+(?:de\s+|d['’]\s*)?({MONTH_PATTERN})"
@@ -331,14 +312,16 @@ def trailing_month_dates(c: Column | str, year: int | Column) -> Column:
 
 # -- times --------------------------------------------------------------------------------------
 
-CLOCK = r"(?:^|[^0-9])(?:([0-9]{1,2})[:.]([0-9]{2})|([0-9]{1,2})\s*h)"
+# A dot is a clock's only with an h behind it; that h ends a word.
+CLOCK = r"(?:^|[^0-9.:])(?:([0-9]{1,2}):([0-9]{2})|([0-9]{1,2})\.([0-9]{2})\s*h(?![\p{L}0-9]))"
+BARE_HOUR = r"(?:^|[^0-9.:])([0-9]{1,2})\s*h(?![\p{L}0-9])"
 
 
 def parse_time_any(c: Column | str) -> Column:
-    """First clock time of a text as ``HH:mm``; null when there is none or it is off the clock."""
+    """First clock time of a text as ``HH:mm``, else its first hour alone; null when there is none or it is off the clock."""
     text = F.lower(_col(c))
-    hour = F.coalesce(_int(text, CLOCK, 1), _int(text, CLOCK, 3))
-    return hhmm(hour, F.coalesce(_int(text, CLOCK, 2), F.lit(0)))
+    hour = F.coalesce(_int(text, CLOCK, 1), _int(text, CLOCK, 3), _int(text, BARE_HOUR, 1))
+    return hhmm(hour, F.coalesce(_int(text, CLOCK, 2), _int(text, CLOCK, 4), F.lit(0)))
 
 
 def all_times(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from duskboard.functions.text import _col, let
 
 # Marker words of each pricing policy, matched on lower-cased text.
-FREE = "gratu[ïi]?t|gratu[ïi]ta|accés\\s+lliure|entrada\\s+(lliure|libre|gratu)|activitat\\s+gratu|free"
+FREE = "gratu[ïi]?t|gratu[ïi]ta|accés\\s+lliure|entrada\\s+(lliure|libre|gratu)|activitat\\s+gratu|(?<![\\p{L}-])free(?![\\p{L}-])"
 SOLD_OUT = "exhaurit|esgotad|esgotat|sold[\\s-]*out|s\\.o\\."
 UNKNOWN = "(a|per)\\s+determinar|tbd"
 BUNDLED = "inclòs|preu de l'entrada"
@@ -48,12 +48,13 @@ def amounts(c: Column | str, pattern: str) -> Column:
 
 
 def euro_amounts(c: Column | str) -> Column:
-    """Amounts beside a euro sign or the word, on either side."""
-    text = _col(c)
-    after = r"([0-9]+(?:[.,][0-9]+)?)\s*(?:€|euros?)"
-    before = r"€\s*([0-9]+(?:[.,][0-9]+)?)(?:-[0-9]+)?"
-    range_end = r"€\s*[0-9]+(?:[.,][0-9]+)?-([0-9]+(?:[.,][0-9]+)?)"
-    return F.concat(amounts(text, after), amounts(text, before), amounts(text, range_end))
+    """Amounts beside a euro sign or the word, on either side, read from left to right: a sign serves one amount or range."""
+    number = r"(?:[0-9]{1,3}(?:\.[0-9]{3})+(?![0-9])|[0-9]+)(?:[.,][0-9]{1,2}(?![0-9]))?"
+    beside = rf"{number}\s*(?:€|euros?)|€\s*{number}(?:-{number})?"
+    found = F.regexp_extract_all(_col(c), F.lit(beside), F.lit(0))
+    numbers = F.flatten(F.transform(found, lambda m: F.regexp_extract_all(m, F.lit(number), F.lit(0))))
+    plain = F.transform(numbers, lambda t: F.regexp_replace(t, r"\.(?=[0-9]{3})", ""))
+    return F.transform(plain, lambda t: F.replace(t, F.lit(","), F.lit(".")).cast("double"))
 
 
 def price_bounds(values: Column, rounding: str = "even") -> Column:

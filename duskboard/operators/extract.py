@@ -74,10 +74,6 @@ def extract_blocks(pages: DataFrame, open_pattern: str, html: str = "html") -> D
     return pages.select(*keys, F.posexplode(blocks).alias("pos", "block"))
 
 
-def block_text(col: Column | str) -> Column:
-    return strip_html(col)
-
-
 def label_values(df: DataFrame, labels: str, values: str, out: str = "fields") -> DataFrame:
     """Parallel label and value lists to one map; the last of equal labels wins, extra ones are cut."""
     n = F.least(F.size(labels), F.size(values))

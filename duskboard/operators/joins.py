@@ -121,10 +121,12 @@ def enrich(
     """Listing rows completed from their detail page; ``prefer`` says per column who wins.
 
     ``{"price": "detail", "title": "listing"}``; with ``how="inner"`` a row without its detail is
-    dropped. A detail key that occurs twice is taken once (its smallest values).
+    dropped. Of several details with one key the row with the fewest gaps is taken, of
+    equal ones the smallest; columns of different rows are never mixed.
     """
     cols = list(prefer)
-    one = detail.groupBy(on).agg(*[F.min(c).alias(f"_d_{c}") for c in cols])
+    gaps = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)).alias("_gaps")
+    one = detail.groupBy(on).agg(F.min(F.struct(gaps, *cols)).alias("_d")).select(on, *[F.col(f"_d.{c}").alias(f"_d_{c}") for c in cols])
     out = listing.join(one, on, how)
     for c in cols:
         mine = F.col(c) if c in listing.columns else F.lit(None)
@@ -157,9 +159,8 @@ def slug_join(
     """Rows matched to an index by the slug of their titles; ``columns`` gives name -> default."""
     from duskboard.functions.text import slugify
 
-    one = index.withColumn("_slug", slugify(index_title)).groupBy("_slug").agg(
-        *[F.min(c).alias(f"_i_{c}") for c in columns]
-    )
+    rows = index.withColumn("_slug", slugify(index_title)).groupBy("_slug").agg(F.min(F.struct(*columns)).alias("_i"))
+    one = rows.select("_slug", *[F.col(f"_i.{c}").alias(f"_i_{c}") for c in columns])
     out = df.withColumn("_slug", slugify(title)).join(one, "_slug", "left")
     for c, default in columns.items():
         out = out.withColumn(c, F.coalesce(F.col(f"_i_{c}"), default)).drop(f"_i_{c}")

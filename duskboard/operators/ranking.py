@@ -29,6 +29,25 @@ def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> Dat
     ).select("_row.*")
 
 
+def cells(values: DataFrame, column: str, least_width: int = 1) -> Column:
+    """Number of the range a value lies in, ascending with the value; ``values`` covers all of them.
+
+    Negative values and the others are cut apart, each into equal ranges between their own bounds: minted
+    keys spread over all negative numbers, serial ones stand close together, and either kind is cut evenly.
+    The division is in floating point, so no bounds overflow; it is monotone, so the order holds.
+    """
+    v = F.col(column).cast("double")
+    below, above = F.when(v < 0, v), F.when(v >= 0, v)
+    bounds = values.agg(*[f(side).alias(n) for side, names in ((below, "ab"), (above, "cd")) for f, n in zip((F.min, F.max), names)])
+    b = bounds.select(F.struct("a", "b", "c", "d").alias("b")).scalar()
+
+    def number(lo: Column, hi: Column) -> Column:
+        width = F.greatest((hi - lo + 1) / SLICES, F.lit(float(least_width)))
+        return F.floor((v - lo) / width)
+
+    return F.when(v < 0, number(b["a"], b["b"]) - 2 * SLICES).otherwise(number(b["c"], b["d"]))
+
+
 def index_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,17 +59,12 @@ def index_within(
 ) -> DataFrame:
     """0-based position by ``coarse + [split] + ties`` inside each ``keys`` group.
 
-    A group is cut along its own order: by the coarse columns (few values) and by equal ranges of
-    the numeric ``split`` column. Positions are counted inside the cells, and the cells' offsets
+    A group is cut along its own order: by the coarse columns (few values) and by ranges of
+    the numeric ``split`` column (:func:`cells`). Positions are counted inside the cells, and the cells' offsets
     come from a running sum over their counts, so no task ever holds a whole group. ``values`` may
     name a cheaper table that covers the range of ``split``, such as the one it comes from.
     """
-    bounds = (df if values is None else values).agg(F.min(split).alias("lo"), F.max(split).alias("hi")).select(
-        F.struct("lo", "hi").alias("b")
-    )
-    b = bounds.scalar()
-    width = F.greatest(F.ceil((b["hi"] - b["lo"] + 1) / F.lit(SLICES)), F.lit(1))
-    cut = df.withColumn("_cell", F.floor((F.col(split) - b["lo"]) / width))
+    cut = df.withColumn("_cell", cells(df if values is None else values, split))
     cell = [*keys, *coarse, "_cell"]
     counts = cut.groupBy(*cell).agg(F.count("*").alias("_n"))
     running = (

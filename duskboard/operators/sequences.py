@@ -13,13 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskboard.operators.ranking import SLICES
+from duskboard.operators.ranking import cells
 
 
 def _cut(df: DataFrame, pos: str) -> DataFrame:
-    b = df.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi")).select(F.struct("lo", "hi").alias("b")).scalar()
-    width = F.greatest(F.ceil((b["hi"] - b["lo"] + 1) / F.lit(SLICES)), F.lit(1000))
-    return df.withColumn("_cell", F.floor((F.col(pos) - b["lo"]) / width))
+    return df.withColumn("_cell", cells(df, pos, 1000))
 
 
 def _fill(df: DataFrame, cols: Sequence[str], page: str, pos: str, forward: bool) -> DataFrame:

@@ -67,6 +67,3 @@ def range_fallback(t: Tables) -> DataFrame:
 SELECT event_id, CAST(i AS INT) AS week_no, CAST(date_trunc('week', start_date) AS DATE) + CAST(7 * i AS INT) AS week_start FROM f_event, range(6) AS r(i)""")
 def week_starts(t: Tables) -> DataFrame:
     return E.week_starts(t.event.select("event_id", "start_date"), "start_date", 6).select("event_id", "week_no", "week_start")
-
-
-del TODAY

@@ -49,7 +49,9 @@ def translation_join(t: Tables) -> DataFrame:
 
 
 @query("enrich_from_detail", """
-WITH d AS (SELECT source_url, min(description) AS description, min(price) AS price, min(title) AS title FROM f_event GROUP BY source_url)
+WITH d AS (SELECT * FROM (SELECT source_url, description, price, title, row_number() OVER (PARTITION BY source_url
+    ORDER BY CAST(price IS NULL AS INT) + CAST(description IS NULL AS INT) + CAST(title IS NULL AS INT),
+      price NULLS FIRST, description NULLS FIRST, title NULLS FIRST) AS rn FROM f_event) WHERE rn = 1)
 SELECT e.event_id, coalesce(e.price, d.price) AS price, coalesce(d.description, e.description) AS description, coalesce(e.title, d.title) AS title
 FROM f_event e LEFT JOIN d ON d.source_url = e.source_url""")
 def enrich_from_detail(t: Tables) -> DataFrame:

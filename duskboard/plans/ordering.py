@@ -179,6 +179,3 @@ def category_order(t: Tables) -> DataFrame:
 SELECT venue_slug, event_id, title FROM (SELECT *, row_number() OVER (PARTITION BY venue_slug ORDER BY event_id) AS rn FROM f_event) WHERE rn <= 5""")
 def first_n_per_venue(t: Tables) -> DataFrame:
     return K.first_n(t.event, ["venue_slug"], ["event_id"], 5).select("venue_slug", "event_id", "title")
-
-
-del film_groups

@@ -167,6 +167,3 @@ def label_intersection(t: Tables) -> DataFrame:
     wanted = ["PROMO", "Brand#7"]
     return t.event.select("event_id", C.any_label("annotations", wanted).alias("hit"),
                           F.size(F.array_intersect("annotations", F.array(*[F.lit(w) for w in wanted]))).cast("bigint").alias("n_common"))
-
-
-del LOCALE

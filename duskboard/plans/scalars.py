@@ -338,7 +338,7 @@ def infer_year(t: Tables) -> DataFrame:
 @query("parse_time_any", """
 SELECT e.event_id, CASE e.event_id % 9
   WHEN 0 THEN h || ':30' WHEN 1 THEN h || ':15' WHEN 2 THEN h || ':00' WHEN 3 THEN h || ':00' WHEN 4 THEN h || ':00'
-  WHEN 6 THEN '12:00' WHEN 7 THEN h || ':45' END AS parsed
+  WHEN 6 THEN h || ':30' WHEN 7 THEN h || ':45' END AS parsed
 FROM (SELECT event_id, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS h FROM events) e""")
 def parse_time_any(t: Tables) -> DataFrame:
     return t.time_text.select("event_id", D.parse_time_any("raw").alias("parsed"))
@@ -474,7 +474,7 @@ def json_event_fields(t: Tables) -> DataFrame:
     df = t.jsonld.select("event_id", F.from_json("doc", schema)[0].alias("j"))
     flag = F.when(F.col("event_id") % 2 == 1, F.lit("1")).otherwise(F.lit("False"))
     return df.select("event_id", "j.name", F.col("j.offers.priceCurrency").alias("currency"),
-                     F.coalesce(F.nullif("j.description", F.lit("")), "j.name").alias("shown"), C.is_truthy(flag).alias("flag"))
+                     F.coalesce(F.nullif("j.description", F.lit("")), "j.name").alias("shown"), C.feed_flag(flag).alias("flag"))
 
 
 @query("translations_array", """

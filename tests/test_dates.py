@@ -12,16 +12,16 @@ def days(*ds):
 
 def test_catalan_phrases(evaluate):
     cases = {
-        "13 de juny": days((6, 13)),
-        "9 d'octubre": days((10, 9)),
-        "Del 3 al 5 d'octubre": days((10, 3), (10, 4), (10, 5)),
-        "Del 2 al 5 i 11 i 12 d'octubre": days((10, 2), (10, 3), (10, 4), (10, 5), (10, 11), (10, 12)),
-        "17 i 18 d'octubre": days((10, 17), (10, 18)),
-        "31 d'octubre i 1 de novembre": days((10, 31), (11, 1)),
-        "13 de gener": [dt.date(2027, 1, 13)],
-        "31 de juny": [],
+        "24 de setembre": days((9, 24)),
+        "8 d'agost": days((8, 8)),
+        "Del 6 al 9 d'agost": days((8, 6), (8, 7), (8, 8), (8, 9)),
+        "Del 6 al 8 i 20 i 22 d'agost": days((8, 6), (8, 7), (8, 8), (8, 20), (8, 22)),
+        "4 i 6 d'agost": days((8, 4), (8, 6)),
+        "30 de setembre i 1 d'octubre": days((9, 30), (10, 1)),
+        "2 de febrer": [dt.date(2027, 2, 2)],
+        "31 de setembre": [],
         "": [],
-        "5 de bananamonth": [],
+        "7 de fantasia": [],
     }
     assert evaluate(lambda c: D.catalan_dates(c, F.lit(dt.date(2026, 6, 1))), list(cases)) == list(cases.values())
 
@@ -29,12 +29,12 @@ def test_catalan_phrases(evaluate):
 def test_worded_spans(evaluate):
     d = dt.date
     cases = {
-        "Del 17 al 21 de juny de 2026": (d(2026, 6, 17), d(2026, 6, 21)),
-        "fins al 28 de juny de 2026": (d(2026, 6, 28), None),
-        "del 12 de febrer al 14 de març de 2027": (d(2027, 2, 12), d(2027, 3, 14)),
-        "5 y 7 de marzo de 2026": (d(2026, 3, 5), d(2026, 3, 7)),
-        "Del 20 de diciembre al 6 de enero de 2027": (d(2026, 12, 20), d(2027, 1, 6)),
-        "el 19 d'octubre de 2026": (d(2026, 10, 19), None),
+        "Del 3 al 8 de maig de 2026": (d(2026, 5, 3), d(2026, 5, 8)),
+        "fins al 9 de maig de 2026": (d(2026, 5, 9), None),
+        "del 25 de març al 2 de maig de 2027": (d(2027, 3, 25), d(2027, 5, 2)),
+        "10 y 13 de mayo de 2026": (d(2026, 5, 10), d(2026, 5, 13)),
+        "Del 28 de noviembre al 3 de febrero de 2027": (d(2026, 11, 28), d(2027, 2, 3)),
+        "el 5 d'abril de 2026": (d(2026, 4, 5), None),
         "sense data": (None, None),
     }
     assert [tuple(r) for r in evaluate(D.worded_span, list(cases))] == list(cases.values())
@@ -116,3 +116,9 @@ def test_headings(evaluate):
     sunday = dt.date(2026, 6, 7)
     assert evaluate(lambda loc: D.day_heading(F.lit(sunday), loc), ["ca", "es", "en"]) == [
         "diumenge, 7 de juny", "domingo, 7 de junio", "Sunday 7 June"]
+
+
+def test_clock_in_mixed_text(evaluate):
+    cases = {"13.06.2026 20:30h": "20:30", "Preu 12.50 € 20:30h": "20:30", "24 hores 20:30": "20:30", "12 hivern 21:00": "21:00", "19.45 h": "19:45",
+             "a les 18h": "18:00", "11 h i 22:15": "22:15", "26:00": None, "12.50": None}
+    assert evaluate(D.parse_time_any, list(cases)) == list(cases.values())

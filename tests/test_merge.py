@@ -127,3 +127,29 @@ def test_schema_check(spark):
         validate_schema(ok.withColumn("start_date", F.lit("2026-01-01")))
     with pytest.raises(ValueError, match="outside"):
         validate_schema(ok.withColumn("x", F.lit(1)))
+
+
+def test_an_old_text_does_not_bring_back_an_old_id(spark):
+    """A row changes its key and a new row comes with the key it had: two events, two ids, also within one time."""
+    empty = spark.createDataFrame([], store(spark).schema)
+    steps = [("1", "A", None, "u1"), ("2", "B", None, "u1"), ("1", "A", "9", "u3")]
+    snap = empty
+    for version, title, external, url in steps:
+        out = M.upsert(staged(spark, [dict(title=title, external_id=external, source_url=url)]), snap, NOW, version).drop("change")
+        snap = spark.createDataFrame(out.collect(), out.schema)
+    ids = [r.event_id for r in snap.collect()]
+    assert len(ids) == len(set(ids)) == 2
+
+
+def test_the_last_of_equal_languages_wins(spark):
+    rows = spark.createDataFrame([(1, 0, "es", "z", None, None), (1, 1, "es", "a", None, None)], "event_id long, pos int, lang string, title string, description string, source_url string")
+    assert [(r.lang, r.title) for r in M.keep_last_per_language(rows).collect()] == [("es", "a")]
+
+
+def test_positions_of_minted_and_serial_ids(spark):
+    from duskboard.operators.ranking import index_within
+
+    ids = [-(2**63) + 5, -(2**62), -7, 0, 1, 2, 3, 100, 2**62]
+    df = spark.createDataFrame([(0, 0, i) for i in reversed(ids)], "day int, coarse int, id long")
+    got = {r.id: r.idx for r in index_within(df, ["day"], ["coarse"], "id").collect()}
+    assert got == {v: i for i, v in enumerate(ids)}
