@@ -153,3 +153,18 @@ def test_positions_of_minted_and_serial_ids(spark):
     df = spark.createDataFrame([(0, 0, i) for i in reversed(ids)], "day int, coarse int, id long")
     got = {r.id: r.idx for r in index_within(df, ["day"], ["coarse"], "id").collect()}
     assert got == {v: i for i, v in enumerate(ids)}
+
+
+def test_children_follow_the_matched_event(spark):
+    """Categories and translations of a matched event are replaced, those of others kept; they round-trip through their tables."""
+    one = lambda lang, title: (lang, title, None, None)
+    cur = store(spark, [dict(title="A", external_id="1", source_url="a", category_slugs=["folk"], translations=[one("es", "a"), one("en", "a")]),
+                        dict(title="B", source_url="b", category_slugs=["jazz", "folk", "jazz"], translations=[one("fr", "b")])])
+    cats = spark.createDataFrame([(1, "jazz"), (2, "folk")], "category_id long, slug string")
+    whole = M.with_children(cur, M.category_rows(cur, cats), cats, M.translation_rows(cur))
+    kids = lambda df: {r.title: (r.category_slugs, [(t.lang, t.title) for t in r.translations]) for r in df.collect()}
+    assert kids(whole) == kids(cur)
+    batch = staged(spark, [dict(title="A2", external_id="1", source_url="a", category_slugs=["jazz", None], translations=[one("es", "z"), one("es", "y"), one(None, "x")]),
+                           dict(title="C", source_url="c", category_slugs=None, translations=None)])
+    assert kids(M.upsert(batch, whole, NOW)) == {
+        "A2": (["jazz"], [("es", "y")]), "B": (["folk", "jazz"], [("fr", "b")]), "C": ([], [])}

@@ -10,7 +10,8 @@ from duskboard.operators import sequences as S
 from duskboard.operators.merge import upsert
 from duskboard.sources.feeds import feed_entries, parse_feed
 from duskboard.sources.sinks import write_events
-from duskboard.streaming.upserts import init_store, read_store, upsert_stream
+from duskboard.streaming import upserts
+from duskboard.streaming.upserts import init_store, read_store, upsert_stream, written_versions
 
 NOW = dt.datetime(2026, 6, 7, 2)
 
@@ -89,7 +90,8 @@ def test_only_written_venues_are_replaced(spark, tmp_path):
 
 
 def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
-    rows = [dict(title=f"T{i}", venue_slug=f"v{i % 4}", external_id=f"e{i}" if i % 3 else None, source_url=f"u{i}") for i in range(24)]
+    rows = [dict(title=f"T{i}", venue_slug=f"v{i % 4}", external_id=f"e{i}" if i % 3 else None, source_url=f"u{i}",
+                 translations=[("es", f"E{i}", None, None)] * (i % 2)) for i in range(24)]
     rows += [dict(title="dup", venue_slug="v3", external_id="e1x"), dict(title="dup", venue_slug="v3", external_id="e1x")]
     batch = staged(spark, rows)
     cur = store(spark, [dict(title="T1", venue_slug="v1", external_id="e1", source_url="u1"), dict(title="K", venue_slug="v9", source_url="k")])
@@ -102,7 +104,7 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     args = (spark, f"{base}/in", f"{base}/store", f"{base}/cp", venues, cats, NOW)
     upsert_stream(*args, files_per_batch=1).awaitTermination()
     # New ids carry the micro-batch: other than the batch job's, but unique, and the same on a rerun.
-    rows_of = lambda df: sorted((r.event_id, r.venue_slug, r.title, r.external_id or "") for r in df.collect())
+    rows_of = lambda df: sorted((r.event_id, r.venue_slug, r.title, r.external_id or "", r.category_slugs, r.translations) for r in df.collect())
     named = lambda rows: sorted((max(i, 0), *rest) for i, *rest in rows)
     first = rows_of(read_store(spark, f"{base}/store"))
     assert named(first) == named(rows_of(upsert(batch.filter("venue_slug != 'v3'"), cur, NOW)))
@@ -111,3 +113,26 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     shutil.rmtree(f"{base}/cp")
     upsert_stream(*args, files_per_batch=1).awaitTermination()
     assert rows_of(read_store(spark, f"{base}/store")) == first
+
+
+def test_a_store_stays_cheap_to_read(spark, tmp_path, monkeypatch):
+    """More micro-batches than lie between two whole versions: the stream has what the batch jobs give, one after
+    the other, and a reader opens no version before the last whole one."""
+    monkeypatch.setattr(upserts, "WHOLE_EVERY", 3)
+    base, last = str(tmp_path), 4
+    cur = store(spark, [dict(title="K", venue_slug="v9", source_url="k", category_slugs=["jazz"], translations=[("es", "EK", None, None)])])
+    venues = spark.createDataFrame([(f"v{i}",) for i in range(10)], "slug string")
+    cats = spark.createDataFrame([("jazz",), ("folk",)], "slug string")
+    init_store(cur, f"{base}/store")
+    for i in range(last):
+        rows = [dict(title="A", venue_slug=f"v{i % 3}", source_url="a", category_slugs=["folk", "jazz", "folk"][i % 2:],
+                     translations=[("es", f"old{i}", None, None), ("en", "N", None, None), ("es", f"E{i}", None, None)][i % 2:])]
+        staged(spark, rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    upsert_stream(spark, f"{base}/in", f"{base}/store", f"{base}/cp", venues, cats, NOW, files_per_batch=1).awaitTermination()
+    got = read_store(spark, f"{base}/store")
+    told = {(r.venue_slug, r.title): (r.category_slugs, [(t.lang, t.title) for t in r.translations]) for r in got.collect()}
+    assert len(told) == 4 and told["v9", "K"] == (["jazz"], [("es", "EK")])
+    assert told[f"v{(last - 1) % 3}", "A"] == (["folk", "jazz"], [("en", "N"), ("es", f"E{last - 1}")])
+    assert told[f"v{(last - 2) % 3}", "A"] == (["folk", "jazz"], [("en", "N"), ("es", f"E{last - 2}")])
+    assert written_versions(spark, f"{base}/store") == list(range(last + 1))
+    assert {f.split("version=")[1].split("/")[0] for f in got.inputFiles()} == {"3", "4"}
