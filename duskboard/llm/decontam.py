@@ -1,7 +1,8 @@
 """Operator 7: benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over neighbouring words: some positions count, the others are ignored, so a replaced
-word breaks only the seeds that look at it. Hashes of the benchmark's seeds are joined with those of the
+word breaks only the seeds that look at it. The masks are chosen so that every passage that counts has a seed
+none of its replaced words breaks. Hashes of the benchmark's seeds are joined with those of the
 documents where the documents are read; every hit is then verified word by word along its diagonal.
 """
 
@@ -18,8 +19,13 @@ from pyspark.sql import functions as F
 from duskboard.llm.frames import id_and_text, slices
 
 WORD = re.compile(r"[^\W_]+")
-#: One: the word counts; nought: it is ignored. All weigh eight words.
-MASKS = ("11111111", "110110101101001", "1101001110111")
+#: One: the word counts; nought: it is ignored. All weigh six words. Every end of a best stretch matches more than
+#: twice as many words as it misses, so its last twelve matches have at most five mismatches between them: 728
+#: patterns, each of which one of these masks fits. More matches have such an end too; fewer need SHORT.
+MASKS = ("10110111", "10010001111", "10100010111")
+MASKS_FROM = 12
+#: Behind its last mismatch a best stretch has three matches at least.
+SHORT = 3
 SCHEMA = "doc_id long, item_id long, n_matched long, n_words long, doc_word long, item_word long"
 #: Text of the benchmark that one pass holds in every worker.
 PASS_BYTES = 32 << 20
@@ -63,14 +69,15 @@ class SeedIndex:
         self.ids: dict[str, int] = {}
         self.items = [i for i, _ in items]
         self.texts = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(t)], np.int64) for _, t in items]
-        self.masks = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-        # An item shorter than a mask has a seed of all its words.
-        for n in sorted({len(t) for t in self.texts if 0 < len(t) < len(MASKS[1])}):
+        spaced = MASKS if least_words >= MASKS_FROM else ("1" * max(1, min(SHORT, least_words)),)
+        self.masks = [tuple(i for i, c in enumerate(m) if c == "1") for m in spaced]
+        # An item of fewer words than a passage has a seed of all its words.
+        for n in sorted({len(t) for t in self.texts if 0 < len(t) < least_words}):
             self.masks.append(tuple(range(n)))
         found = []
         for k, mask in enumerate(self.masks):
             for i, text in enumerate(self.texts):
-                if k < len(MASKS) or len(text) == len(mask):
+                if k < len(spaced) or len(text) == len(mask):
                     at, h = _seeds(text, mask, k + 1)
                     found.append((h, np.full(len(h), i), at))
         hashes, item, place = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found) if found else ((), (), ())))

@@ -180,6 +180,52 @@ def test_overlaps_of_hard_rows(spark, con, hard, none):
     assert decontam.find_overlaps(spark.createDataFrame([(1, "Seven, words"), (2, "seven more words")], "doc_id long, text string"), given).collect()[0]["item_id"] == 901
 
 
+def replaced(rng, n):
+    """Passages of n words, periodic and random replacements, between words of their own."""
+    own = lambda k: [f"own{rng.randrange(10**6)}" for _ in range(k)]
+    body = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    places = [range(k - 1, n, k) for k in (4, 5, 6, 7)] + [rng.sample(range(n), k) for k in range(1, 1 + n // 3)]
+    for gone in places:
+        yield " ".join(body), " ".join(own(9) + [f"x{i}" if i in set(gone) else w for i, w in enumerate(body)] + own(9))
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 12, 14])
+def test_no_accepted_passage_lacks_a_seed(least):
+    rng = random.Random(11)
+    accepted = 0
+    for n in (4, 11, 13, 15, 16, 18, 20, 30, 59, 200):
+        for body, text in replaced(rng, n):
+            want = {(0, 0)} if best_of(text, body) >= min(least, n) else set()
+            assert least != 12 or n > 59 or brute_overlaps([(0, text)], [(0, body)], least) <= want
+            got = {(t, i) for t, i, *_ in decontam.SeedIndex([(0, body)], least).overlaps([text])}
+            assert got == want, (least, n, text)
+            accepted += len(want)
+    assert accepted > 30
+
+
+def best_of(text, body):
+    """Matches of the best stretch where text holds body behind nine words; no other diagonal has any."""
+    same = np.array([a == b for a, b in zip(text.split()[9:], body.split(), strict=False)])
+    a, b = decontam.best_stretch(same)
+    return int(same[a:b].sum())
+
+
+def test_every_end_of_twelve_matches_fits_a_mask():
+    """All ends of best stretches with twelve matches, built backwards: no suffix costs what it matches."""
+    ends, open_ = [], [("1", 1)]
+    while open_:
+        text, score = open_.pop()
+        if text.count("1") == 12:
+            ends.append(text)
+            continue
+        open_.append(("1" + text, score + 1))
+        if score > 2:
+            open_.append(("0" + text, score - 2))
+    assert len(ends) == 728
+    fits = [re.compile(f"(?={m.replace('0', '.')})") for m in decontam.MASKS]
+    assert all(any(f.search(e) for f in fits) for e in ends)
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
