@@ -282,6 +282,37 @@ def test_random_strings_and_known_ones():
     assert [text[a:b] for k, a, b, _ in find(text) if k == "random"] == ["Zx8Qp2Lk9Vw4Tn7Rb3Hs6Yd1"]
 
 
+ALPHABETS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "lower with digits": "abcdefghijklmnopqrstuvwxyz0123456789", "upper with digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "mixed": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "alphanumeric": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_recall_of_random_strings(name):
+    """Of the strings below the ratio, none but a few count as identifiers."""
+    rng, find = random.Random(5), secret_scan.finder(queries.MERGE_RANKS, 2.0)
+    encoding = secret_scan._encoding(queries.MERGE_RANKS)
+    texts = ["".join(rng.choices(ALPHABETS[name], k=32)) for _ in range(500)]
+    below = [t for t in texts if len(t) / len(encoding.encode_ordinary(t)) < 2.0]
+    found = [t for t in below if ("random", 0, 32) in [s[:3] for s in find(t)]]
+    assert len(below) > 350 and len(found) >= 0.99 * len(below)
+
+
+@pytest.mark.parametrize("before", ["DATABASE_CONNECTION_STRING=", "/home/service/configuration/", "production-environment-deployment-", "the_application_signing_key_"])
+def test_random_string_behind_words(before):
+    find, value = secret_scan.finder(queries.MERGE_RANKS, 2.0), "x9Kq2LmZ7vTb4Wn8RcY3"
+    spans = [(a, b) for k, a, b, _ in find(f"set {before}{value} now") if k == "random"]
+    assert len(spans) == 1 and spans[0][0] <= 4 + len(before) and spans[0][1] == 4 + len(before) + len(value)
+
+
+def test_identifiers_are_not_random():
+    find = secret_scan.finder(queries.MERGE_RANKS, 2.0)
+    names = "MAX_CONNECTION_TIMEOUT_SECONDS getUserAccountByIdentifier /usr/local/share/applications/default DATABASE_CONNECTION_STRING=production HTTPServerRequestHandlerFactory"
+    assert not [names[a:b] for k, a, b, _ in find(names) if k == "random"]
+
+
 def test_checksums_and_context():
     kinds = {ODD[a:b]: (k, s) for k, a, b, s in pii.find_in(ODD)}
     assert kinds["GB82 WEST 1234 5698 7654 32"][0] == kinds["DE89370400440532013000"][0] == "iban" and "GB00WEST12345698765432" not in kinds
