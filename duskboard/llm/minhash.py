@@ -236,11 +236,12 @@ def near_duplicates(
     docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per distinct (doc_id, t): its ``class_id``, the smallest id among the documents it is linked to over any
-    path of pairs with a weighted Jaccard similarity of ``least`` or more.
+    path of pairs with a weighted Jaccard similarity of ``least`` or more, and ``root``, which names the class: classes
+    of different texts under one repeated id have one class_id but different roots.
 
     t is a hash of the text and tells rows with one id apart. Texts with equal multisets are one class from the
-    start. Texts without words are linked to nothing. Rows without an id are left out, as they cannot stand for a
-    class. Repeated rows count once. Other columns are ignored; an empty table gives no rows.
+    start. Texts without words are linked to equal ones only, empty texts to nothing. Rows without an id are left out,
+    as they cannot stand for a class. Repeated rows count once. Other columns are ignored; an empty table gives no rows.
     """
     texts = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
     texts = texts.withColumn("row", F.xxhash64("doc_id", "t"))  # names a row, as ids may repeat
@@ -251,16 +252,20 @@ def near_duplicates(
     roots = _classes(first, texts, least).select(F.col("node").alias("row"), F.col("root").alias("linked"))
     placed = first.join(roots, "row", "left").select("content", "doc_id", F.coalesce("linked", "row").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = placed.join(lowest, "root").select("content", "class_id")
-    member = full.select("doc_id", "t", "content").join(classes, "content").select("doc_id", "t", "class_id")
-    alone = signed.filter("size = 0").select("doc_id", "t", F.col("doc_id").alias("class_id"))
-    return member.unionByName(alone).distinct()
+    classes = placed.join(lowest, "root").select("content", "class_id", "root")
+    member = full.select("doc_id", "t", "content").join(classes, "content").select("doc_id", "t", "class_id", "root")
+    bare = signed.filter("size = 0").select("doc_id", "t", "row")
+    empty = F.col("t") == F.xxhash64(F.lit(""))
+    firsts = stored(bare.filter(~empty).groupBy("t").agg(F.min(F.struct("doc_id", "row")).alias("first")), "bare")
+    wordless = bare.filter(~empty).join(firsts, "t").select("doc_id", "t", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("root"))
+    wordless = wordless.unionByName(bare.filter(empty).select("doc_id", "t", F.col("doc_id").alias("class_id"), F.col("row").alias("root")))
+    return member.unionByName(wordless).distinct()
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that of the smallest id, with all columns of ``docs``; of several rows with that id and
     class the one with the smallest hash of its text. Rows without an id stay, as they are in no class."""
-    stay = classes.filter("doc_id = class_id").groupBy("class_id").agg(F.min("t").alias("t"))
+    stay = classes.filter("doc_id = class_id").groupBy("root", "class_id").agg(F.min("t").alias("t"))
     own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("class_id"), own.alias("t"))
     kept = named.filter("class_id IS NOT NULL").join(stay, ["class_id", "t"], "left_semi").dropDuplicates(["class_id", "t"])

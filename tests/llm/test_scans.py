@@ -94,6 +94,20 @@ def test_near_duplicates_of_hard_rows(spark, hard, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.keep_first(none, minhash.near_duplicates(none)).count() == 0
 
 
+def test_equal_texts_without_words(spark):
+    rows = [(5, "!!! ***"), (3, "!!! ***"), (4, "!!! **"), (7, "!!! ***"), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {3: 3, 5: 3, 7: 3, 4: 4, 8: 8, 9: 9}
+
+
+def test_classes_of_a_repeated_id(spark):
+    one, two = "a heron stands in the shallow water", "the train leaves at nine from platform four"
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (1, "..."), (1, ""), (2, one), (3, two), (4, "...")], "doc_id long, text string")
+    kept = minhash.keep_first(docs, minhash.near_duplicates(docs)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, two), (1, "..."), (1, "")])
+
+
 @pytest.mark.parametrize(("a", "b"), [({1: 1, 2: 1, 3: 1}, {2: 1, 3: 1, 4: 1}), ({1: 5, 2: 1}, {1: 3, 2: 2, 3: 1}), ({i: 7 for i in range(9)}, {i: 6 for i in range(12)})])
 def test_signatures_are_unbiased(a, b):
     """Components agree as often as the weighted Jaccard similarity says."""
