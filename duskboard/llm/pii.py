@@ -18,6 +18,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 "
+    "NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Score of a confirmed span; words of its kind nearby add to it.
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
@@ -44,6 +50,24 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost, not overlapping. Words and numbers may follow: a proposal is cut at its country's length, or else taken
+    whole; of an unknown country each end of a word is tried, the longest first."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        own, wanted = m[0], IBAN_LENGTHS.get(m[0][:2])
+        ends = [i for i in range(len(own), 14, -1) if i == len(own) or own[i] == " "]
+        if wanted:
+            ends = [i for i in ends if i - own[:i].count(" ") == wanted] + ends[:1]
+        at = m.start() + 1
+        for i in ends:
+            if 15 <= len(x := own[:i].replace(" ", "")) <= 34 and mod97(x):
+                at = m.start() + i
+                out.append((m.start(), at))
+                break
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost, not overlapping. It goes from @ to @, so a long run without one costs nothing."""
     out, free, at = [], 0, text.find("@")
@@ -69,7 +93,7 @@ def find_in(text: str) -> list[Span]:
         found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
-    found += [("iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)]
+    found += [("iban", a, b) for a, b in ibans(text)]
     if "-" in text:
         found += [("ssn", *m.span()) for m in SSN.finditer(text)]
     out = []

@@ -334,6 +334,14 @@ def test_checksums_and_context():
     assert pii.find_in("call my phone: +1 (930) 555-2361")[0][3] > pii.find_in("+1 (930) 555-2361")[0][3]
 
 
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " EUR 500", " 12 3456", " GB00 WEST 1", ", EUR", " A"])
+@pytest.mark.parametrize("before", ["", "IBAN ", "AB12 "])
+def test_ibans_before_other_words(before, iban, after):
+    text = before + iban + after
+    assert [text[a:b] for k, a, b, _ in pii.find_in(text) if k == "iban"] == [iban]
+
+
 def test_scans_of_hard_rows(spark, hard, none):
     odd = hard.unionByName(spark.createDataFrame([(50, ODD, "r", 0), (51, "1" * 60_000 + "a@" + "9" * 60_000, "r", 0), (52, "a" * 100_000 + " @ +" + " " * 50_000, "r", 0)], hard.schema))
     for found in (secret_scan.find_secrets(odd, queries.MERGE_RANKS), pii.find_personal_data(odd)):
