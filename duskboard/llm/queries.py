@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskboard.llm import binary, chat, decontam, licenses, linededup, minhash, packing, pii, quality, secret_scan, spans
+from duskboard.llm import (
+    binary, chat, decontam, licenses, linededup, minhash, packing, pii, quality, repair, secret_scan, simhash, spans, whitening,
+)
 from duskboard.llm.frames import table
-from duskboard.session import new_folder
+from duskboard.session import new_folder, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 MERGE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,9 +94,30 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans.listed(pii.BASE), 256).alias("base_sha256"), spans.listed().alias("spans"))
 
 
+def op11_pivot_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    linked = simhash.link_documents(table(spark, folder, "documents"))
+    return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_audit_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    damaged = repair.damage(table(spark, folder, "conversations"))
+    audits = stored(repair.audit_chats(damaged), "audits")
+    digests = repair.digests(repair.apply_audits(damaged, audits)).withColumnRenamed("conv_id", "conv")
+    joined = audits.join(digests, audits["conv_id"].eqNullSafe(digests["conv"]), "left")
+    return joined.select(*audits.columns, F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_qd_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings along their four strongest components, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bag_minhash, op2_cost_packing, op3_chat_templates, op4_rule_cascade, op5_token_secrets, op6_license_join,
-    op7_spaced_seeds, op8_token_shards, op9_line_bitmaps, op10_personal_data,
+    op7_spaced_seeds, op8_token_shards, op9_line_bitmaps, op10_personal_data, op11_pivot_simhash, op12_audit_repair,
+    op13_qd_whitening,
 )}
 
 _WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
