@@ -12,7 +12,8 @@ from duskboard.plans.registry import TODAY, query
 from duskboard.sources.entities import read_pages
 from duskboard.sources.feeds import parse_feed
 from duskboard.session import new_folder
-from duskboard.sources.sinks import publish, write_events
+from duskboard.sources.sinks import publish
+from duskboard.sources.snapshots import read_events, write_events
 from duskboard.sources.views import Tables
 
 
@@ -50,16 +51,28 @@ def scan_json_feed(t: Tables) -> DataFrame:
     return feed.select("event_id", "feed.k", "feed.missing")
 
 
-@query("sink_events", """
-SELECT venue_slug, count(*) AS n, CASE WHEN venue_slug = 'venue-2' THEN count(*) ELSE count(*) FILTER (price = 'free') END AS n_free FROM f_event GROUP BY venue_slug""")
+#: All columns of an event, arrays as text.
+EVENT_SQL = """event_id, venue_id, venue_slug, external_id, title, start_date, start_time, array_to_string(start_times, ',') AS start_times, end_date,
+  end_time, {price} AS price, description, image_url, source_url, recurrence_hint, array_to_string(annotations, ',') AS annotations, category"""
+
+
+def flat(events: DataFrame) -> DataFrame:
+    return events.withColumns({c: F.array_join(c, ",") for c in ("start_times", "annotations")})
+
+
+@query("sink_events", f"""
+SELECT 1 AS version, {EVENT_SQL.format(price="price")} FROM f_event
+UNION ALL SELECT 2, {EVENT_SQL.format(price="CASE WHEN venue_id % 7 = 2 THEN 'free' ELSE price END")} FROM f_event WHERE venue_id % 7 <> 3""")
 def sink_events(t: Tables) -> DataFrame:
-    """Writes all venues, then one venue's changed rows again; the others must be as they were."""
+    """Writes all venues, then some venues' changed rows and others without rows; a reader of the first version stays with it."""
     path = new_folder(t.spark, "events")
-    events = t.event.select("event_id", "venue_slug", "title", "start_date", "start_time", "price")
-    write_events(events, path)
-    write_events(events.filter("venue_slug = 'venue-2'").withColumn("price", F.lit("free")), path)
-    stored = t.spark.read.schema(events.schema).parquet(path)
-    return stored.groupBy("venue_slug").agg(F.count("*").alias("n"), F.count_if(F.col("price") == "free").alias("n_free"))
+    first = write_events(t.event, path)
+    before = read_events(t.spark, path, t.event.schema)
+    changed = t.event.filter("venue_id % 7 = 2").withColumn("price", F.lit("free"))
+    replaced = t.event.filter("venue_id % 7 IN (2, 3)").select("venue_slug")
+    second = write_events(changed, path, replaced)
+    after = read_events(t.spark, path, t.event.schema)
+    return flat(before).select(F.lit(first).alias("version"), "*").unionByName(flat(after).select(F.lit(second).alias("version"), "*"))
 
 
 @query("publish_agenda", """

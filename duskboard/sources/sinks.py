@@ -1,24 +1,9 @@
-"""Outputs: curated events by venue, agendas by page."""
+"""Outputs: agendas by page. Curated events go to versioned snapshots."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-def write_events(df: DataFrame, path: str) -> None:
-    """Writes events by venue and replaces only the venues present in ``df``.
-
-    The rebalance hint groups rows by venue and lets adaptive execution split a venue that is too
-    large for one task and merge those that are small.
-    """
-    (
-        df.hint("rebalance", "venue_slug")
-        .sortWithinPartitions("venue_slug", "start_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("venue_slug")
-        .parquet(path)
-    )
-
 
 def publish(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Writes every (locale, list) agenda to its own folder, in reading order inside each file."""

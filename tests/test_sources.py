@@ -9,7 +9,6 @@ from duskboard.operators import extract as X
 from duskboard.operators import sequences as S
 from duskboard.operators.merge import upsert
 from duskboard.sources.feeds import feed_entries, parse_feed
-from duskboard.sources.sinks import write_events
 from duskboard.streaming import upserts
 from duskboard.streaming.upserts import init_store, read_store, upsert_stream, written_versions
 
@@ -82,13 +81,6 @@ def test_keyed_feed(spark):
     assert sorted((r.id, r.entry_id, r.entry.t) for r in feed_entries(parsed, "feed").collect()) == [(1, "a", "x"), (1, "b", None)]
 
 
-def test_only_written_venues_are_replaced(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "b", 1)], "event_id long, venue_slug string, v int").withColumn("start_date", F.lit(dt.date(2026, 1, 1)))
-    write_events(df, str(tmp_path / "e"))
-    write_events(df.filter("event_id = 1").withColumn("v", F.lit(2)), str(tmp_path / "e"))
-    assert sorted((r.event_id, r.v) for r in spark.read.parquet(str(tmp_path / "e")).collect()) == [(1, 2), (3, 1)]
-
-
 def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     rows = [dict(title=f"T{i}", venue_slug=f"v{i % 4}", external_id=f"e{i}" if i % 3 else None, source_url=f"u{i}",
                  translations=[("es", f"E{i}", None, None)] * (i % 2)) for i in range(24)]
