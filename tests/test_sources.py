@@ -94,7 +94,7 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
         batch.filter(F.col("venue_slug") == f"v{v}").coalesce(1).write.mode("append").parquet(f"{base}/in")
     init_store(cur, f"{base}/store")
     args = (spark, f"{base}/in", f"{base}/store", f"{base}/cp", venues, cats, NOW)
-    upsert_stream(*args, files_per_batch=1).awaitTermination()
+    upsert_stream(*args, files_per_batch=1, tracked=False).awaitTermination()
     # New ids carry the micro-batch: other than the batch job's, but unique, and the same on a rerun.
     rows_of = lambda df: sorted((r.event_id, r.venue_slug, r.title, r.external_id or "", r.category_slugs, r.translations) for r in df.collect())
     named = lambda rows: sorted((max(i, 0), *rest) for i, *rest in rows)
@@ -103,7 +103,7 @@ def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     assert len({i for i, *_ in first}) == len(first)
     # Progress is lost after the last commit: every batch runs again over what is there.
     shutil.rmtree(f"{base}/cp")
-    upsert_stream(*args, files_per_batch=1).awaitTermination()
+    upsert_stream(*args, files_per_batch=1, tracked=False).awaitTermination()
     assert rows_of(read_store(spark, f"{base}/store")) == first
 
 
@@ -120,7 +120,7 @@ def test_a_store_stays_cheap_to_read(spark, tmp_path, monkeypatch):
         rows = [dict(title="A", venue_slug=f"v{i % 3}", source_url="a", category_slugs=["folk", "jazz", "folk"][i % 2:],
                      translations=[("es", f"old{i}", None, None), ("en", "N", None, None), ("es", f"E{i}", None, None)][i % 2:])]
         staged(spark, rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    upsert_stream(spark, f"{base}/in", f"{base}/store", f"{base}/cp", venues, cats, NOW, files_per_batch=1).awaitTermination()
+    upsert_stream(spark, f"{base}/in", f"{base}/store", f"{base}/cp", venues, cats, NOW, files_per_batch=1, tracked=False).awaitTermination()
     got = read_store(spark, f"{base}/store")
     told = {(r.venue_slug, r.title): (r.category_slugs, [(t.lang, t.title) for t in r.translations]) for r in got.collect()}
     assert len(told) == 4 and told["v9", "K"] == (["jazz"], [("es", "EK")])
