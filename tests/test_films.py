@@ -48,19 +48,52 @@ def test_cards_are_placed_as_the_rule_says(spark):
         assert totals[k] == max(ends) - 1
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_a_large_day_is_packed_as_if_in_one_go(spark, seed):
-    """One day holds most cards and is cut in many chunks; the result is that of the plain loop."""
-    rnd = random.Random(seed)
-    cards = [("hot", i, rnd.choice([2, 2, 3, 5, 9])) for i in range(400)] + [("small", i, 2) for i in range(7)]
+def laid(day, k):
+    cols, rows, _ = place(day, [0] * k)
+    return list(zip(cols, rows, strict=True))
+
+
+#: Heights of a long day: all alike, which never forgets its beginning; mixed; and with cards far higher than the others.
+LONG_DAYS = {
+    "alike": [2] * 391, "mixed": [random.Random(1).choice([2, 2, 3, 5, 9]) for _ in range(400)],
+    "towers": [900 if i in (30, 31, 150) else 2 + i % 3 for i in range(400)], "one tower": [10**6] + [3] * 399, "short": [2, 4, 2, 7],
+}
+
+
+@pytest.mark.parametrize(("chunk", "most"), [(37, 4096), (40, 60)])
+def test_a_large_day_is_packed_as_if_in_one_go(spark, chunk, most):
+    """Long days are cut in ten chunks and more; the result is that of the plain loop."""
+    cards = [(None if day == "mixed" else day, i, h) for day, heights in LONG_DAYS.items() for i, h in enumerate(heights)]
     films = spark.createDataFrame(cards, "day string, film_key long, height long")
     films = films.withColumn("slot", F.floor(F.col("film_key") / 90))
-    got = pack(films, [2, 3], ["day"], ["slot"], "film_key", chunk=37)
-    by_key = {(r.day, r.k, r.film_key): (r.col, r.row) for r in got.collect()}
-    assert len(by_key) == 2 * len(cards)
-    for day in ("hot", "small"):
-        heights = [h for d, _, h in cards if d == day]
-        for k in (2, 3):
-            cols, rows, _ = place(heights, [0] * k)
-            assert [by_key[(day, k, i)] for i in range(len(heights))] == list(zip(cols, rows))
-    assert packing.CHUNK > 1000
+    got = pack(films, [1, 2, 3], ["day"], ["slot"], "film_key", chunk=chunk, most=most)
+    by_key = {(r.day or "mixed", r.k, r.film_key): (r.col, r.row) for r in got.collect()}
+    assert len(by_key) == 3 * len(cards)
+    for day, heights in LONG_DAYS.items():
+        for k in (1, 2, 3):
+            assert [by_key[day, k, i] for i in range(len(heights))] == laid(heights, k)
+
+
+def test_ordinary_days_are_folded_once(spark, monkeypatch):
+    """Ten chunks, no beginning outside the tables: each card is folded in its table and in its place, no more."""
+    asked = []
+    composed = packing._composed
+    monkeypatch.setattr(packing, "_composed", lambda *a: asked.append(1) or composed(*a))
+    heights = LONG_DAYS["alike"][:200] + LONG_DAYS["mixed"][:170]
+    films = spark.createDataFrame([("d", i, h) for i, h in enumerate(heights)], "day string, film_key long, height long").withColumn("slot", F.lit(0))
+    got = sorted((r.film_key, r.col, r.row) for r in pack(films, [3], ["day"], ["slot"], "film_key", chunk=37).collect())
+    assert [r[1:] for r in got] == laid(heights, 3) and asked == [1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_chunks_as_functions(k):
+    rnd = random.Random(k)
+    heights = [rnd.choice([1, 2, 2, 6]) for _ in range(50)]
+    table, numbers = packing.transition(heights, k, 300), packing.beginnings(k, 300)[1]
+    assert len(numbers) <= 300
+    for _ in range(200):
+        start = [rnd.choice([0, 1, 3, 7, 500, 10**7]) + 40 for _ in range(k)]
+        start[rnd.randrange(k)] = 40
+        end = packing.follow(start, sum(heights) + len(heights), numbers, table)
+        assert end is None or end == place(heights, start)[2]
+    assert packing.follow([0] * k, 10**6, numbers, table) == place(heights, [0] * k)[2]
