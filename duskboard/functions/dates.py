@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ MONTH_NAMES = {
            "september", "october", "november", "december"],
 }
 
-_LETTERS = "a-zàáâäèéêëìíîïòóôöùúûüç"
 _ALL_MONTHS = sorted({n for names in MONTH_NAMES.values() for n in names}, key=lambda n: (-len(n), n))
 MONTH_PATTERN = "|".join(_ALL_MONTHS)
 
@@ -85,7 +85,7 @@ def _full_year(year: Column) -> Column:
 NUMERIC_DATE = r"([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4}|[0-9]{2})"
 ISO_DATE = r"([0-9]{4})-([0-9]{2})-([0-9]{2})"
 COMPACT_DATE = r"(?:^|[^0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?:[^0-9]|$)"
-WORDED_DATE = rf"([0-9]{{1,2}})\s+(?:de\s+|d['’]\s*)?([{_LETTERS}]+)\.?\s+(?:de\s+)?([0-9]{{4}})"
+WORDED_DATE = rf"([0-9]{{1,2}})\s+(?:de\s+|d['’]\s*)?([\p{{L}}]+)\.?\s+(?:de\s+)?([0-9]{{4}})"
 
 
 def _numeric_date(token: Column) -> Column:
@@ -180,134 +180,141 @@ def year_before_end(day: Column, month: Column, end: Column) -> Column:
 
 # -- date phrases -------------------------------------------------------------------------------
 
-_OF = rf"\s+d(?:e\s+|['’]\s*)([{_LETTERS}]+)"
-
-
-def catalan_dates(c: Column | str, today: Column) -> Column:
-    """``array<date>`` of a Catalan phrase without a year, sorted.
-
-    The phrase is read as words from its end: a month, named after "de" or "d'", holds for all days before it
-    up to the next month; a day before "al" opens the range to the day behind. Days that do not exist are dropped.
-    """
-    state = "struct<month: int, behind: int, open: boolean, found: array<date>>"
-    nothing = F.struct(F.lit(None), F.lit(None), F.lit(False), F.array()).cast(state)
-
-    def step(acc: Column, token: Column) -> Column:
-        word, before = token["word"], token["before"]
-        day = F.when(F.char_length(word) <= 2, word.try_cast("int"))
-        month = F.when(before.isin("de", "d"), month_number(word, prefix=True))
-        ranged = acc["open"] & (day <= acc["behind"])
-        days = F.when(ranged, F.sequence(day, F.greatest(day, acc["behind"]))).otherwise(F.array(day))
-        year = next_month_year(acc["month"], today)
-        dates = F.transform(days, lambda d: ymd(year, acc["month"], d))
-        read = F.struct(acc["month"], day, F.lit(False), F.concat(acc["found"], F.array_compact(dates)))
-        return (
-            F.when(day.isNotNull(), read.cast(state))
-            .when(month.isNotNull(), F.struct(month, F.lit(None), F.lit(False), acc["found"]).cast(state))
-            .otherwise(F.struct(acc["month"], acc["behind"], acc["open"] | (word == "al"), acc["found"]).cast(state))
-        )
-
-    def read(words: Column) -> Column:
-        before = F.concat(F.array(F.lit("")), words)
-        tokens = F.zip_with(words, F.slice(before, F.lit(1), F.size(words)), lambda w, b: F.struct(w.alias("word"), b.alias("before")))
-        return F.array_sort(F.array_distinct(F.aggregate(F.reverse(tokens), nothing, step)["found"]))
-
-    words = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[0-9]+|\p{L}+"), F.lit(0))
-    return F.coalesce(let(words, read), F.array().cast("array<date>"))
-
-
-_DATED = rf"([0-9]{{1,2}})\s+(?:de\s+|d['’]\s*)?({MONTH_PATTERN})"
-_DATED_YEAR = _DATED + r"(?:\s+(?:de\s+|del\s+)?([0-9]{4}))?"
+#: Tokens of a phrase: full numeric dates, times, days with a month, numbers, words, dashes. A time is matched as such
+#: so that its numbers are no days.
+PHRASE_TOKEN = (
+    r"[0-9]{1,2}[/.][0-9]{1,2}[/.](?:[0-9]{4}|[0-9]{2})(?![0-9])|[0-9]{1,2}[:.][0-9]{2}(?:\s*h\b)?|[0-9]{1,2}\s*h(?:\b|ores|oras|rs)"
+    r"|[0-9]{1,2}/[0-9]{1,2}|[0-9]+|\p{L}+|[–—-]"
+)
+#: Words that join a range's start to its end, and words that may stand between those and a date.
+RANGE_WORDS = ("al", "a", "to", "fins", "hasta", "until", "till", "-", "–", "—")
+ARTICLES = ("de", "d", "del", "el", "l", "la", "dia", "día", "of", "the")
+
+_SPANS = "array<struct<start_date: date, end_date: date>>"
+_READ = f"struct<month: int, year: int, behind: date, own: int, near: boolean, open: boolean, spans: {_SPANS}, loose: array<int>, led: {_SPANS}>"
+
+
+def _token(word: Column, before: Column) -> Column:
+    """Class and values of a token: full date, day and month, day, year, month, range word, article, time, or other word."""
+    slashed = F.translate(word, ".", "/")
+    first, middle = whole(F.substring_index(slashed, "/", 1)), whole(F.substring_index(F.substring_index(slashed, "/", 2), "/", -1))
+    digits = word.rlike("^[0-9]")
+    size = F.char_length(word)
+    month = F.when(~digits, month_number(word))
+    month = F.coalesce(month, F.when(~digits & before.isin("de", "d"), month_number(word, prefix=True)))
+    kind = (
+        F.when(digits & slashed.rlike("/.*/"), "full").when(digits & word.rlike("[:.h]"), "time").when(digits & F.contains(word, F.lit("/")), "partial")
+        .when(digits & (size <= 2), "day").when(digits & (size == 4), "year").when(digits, "other")
+        .when(month.isNotNull(), "month").when(word.isin(*RANGE_WORDS), "range").when(word.isin(*ARTICLES), "article").otherwise("other")
+    )
+    year = F.when(kind == "full", _full_year(whole(F.substring_index(slashed, "/", -1)))).when(kind == "year", whole(word))
+    return F.struct(
+        kind.alias("kind"), F.when(kind.isin("full", "partial", "day"), first).alias("day"),
+        F.coalesce(month, F.when(kind.isin("full", "partial"), middle)).alias("month"), year.alias("year"),
+    )
 
 
-def worded_span(c: Column | str) -> Column:
-    """``struct<start_date,end_date>`` of a Spanish, Catalan or English phrase that prints a year.
+def date_phrase(c: Column | str, today: Column | None = None) -> Column:
+    """``struct<spans: array<struct<start_date,end_date>>, dated>`` of a phrase in Catalan, Spanish or English, in any form
+    that venues print; ``dated`` says whether it prints a year.
 
-    A bare day before the first dated token opens the range; a dated token without a year takes
-    the last printed one, or the year before when that would put it after the end.
+    The tokens are read once, from the end: a month or year holds for all days before it up to the next one, a range word
+    before a day opens the range to it. A year that is not printed behind a day is the last printed one, else the month's
+    next from ``today`` on; without ``today`` such days are dropped, as are days that do not exist. A range of one month
+    that runs backwards gives nothing; one of two months runs over New Year. Days that only stand behind a month
+    ("July 9") count when no others are found. Brackets are left out. Spans are sorted; a single day ends as it starts.
     """
-    text = F.lower(_col(c))
-    year = _int(text, r"^.*\b([0-9]{4})\b", 1)
-    tokens = F.regexp_extract_all(text, F.lit(f"({_DATED_YEAR})"), F.lit(1))
-
-    def to_date(token: Column) -> Column:
-        own = _int(token, r"([0-9]{4})$", 1)
-        return ymd(
-            F.coalesce(own, year),
-            month_number(F.regexp_extract(token, _DATED, 2)),
-            _int(token, _DATED, 1),
-        )
+    text = F.lower(F.regexp_replace(_col(c), r"\([^)]*\)", " "))
+    nothing = F.struct(
+        F.lit(None).alias("month"), F.lit(None).alias("year"), F.lit(None).alias("behind"), F.lit(None).alias("own"),
+        F.lit(False).alias("near"), F.lit(False).alias("open"), F.array().alias("spans"), F.array().alias("loose"), F.array().alias("led"),
+    ).cast(_READ)
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start_date"), end.alias("end_date"))
+
+    def step(printed: Column) -> Callable[[Column, Column], Column]:
+        def year_of(month: Column, year: Column) -> Column:
+            guess = F.lit(None).cast("int") if today is None else next_month_year(month, today)
+            return F.coalesce(year, printed, guess)
+
+        def dated(acc: Column, token: Column) -> Column:
+            """A token with a day: alone, or the start of the range to the date read before it."""
+            month, year = F.coalesce(token["month"], acc["month"]), F.coalesce(token["year"], acc["year"])
+            shift = F.when(F.coalesce(year, printed).isNotNull(), -12).otherwise(12)
+
+            def placed(date: Column) -> Column:
+                late = date > acc["behind"]
+                crosses = month != acc["own"]
+                start = F.when(late & (shift < 0), F.add_months(date, -12)).otherwise(date)
+                end = F.when(late & (shift > 0), F.add_months(acc["behind"], 12)).otherwise(acc["behind"])
+                last = F.try_element_at(acc["spans"], F.lit(-1))
+                alone = F.coalesce((last["start_date"] == acc["behind"]) & (last["end_date"] == acc["behind"]), F.lit(False))
+                others = F.when(alone, F.slice(acc["spans"], F.lit(1), F.greatest(F.size(acc["spans"]) - 1, F.lit(0)))).otherwise(acc["spans"])
+                spans = (
+                    F.when(date.isNull(), acc["spans"])
+                    .when(~acc["open"] | acc["behind"].isNull(), F.concat(acc["spans"], F.array(span(date, date))))
+                    .when(late & ~crosses, others)
+                    .otherwise(F.concat(others, F.array(span(start, end))))
+                )
+                # A range to a day that its month lacks runs to the month's end.
+                month_end = F.when(token["day"].between(29, 31), F.last_day(ymd(year_of(month, year), month, F.lit(1))))
+                loose = F.when(month.isNull(), F.concat(acc["loose"], F.array(token["day"]))).otherwise(acc["loose"])
+                return F.struct(
+                    month.alias("month"), year.alias("year"), F.coalesce(date, month_end).alias("behind"), month.alias("own"), F.lit(True).alias("near"),
+                    F.lit(False).alias("open"), spans.alias("spans"), loose.alias("loose"), acc["led"].alias("led"),
+                ).cast(_READ)
+
+            return let(ymd(year_of(month, year), month, token["day"]), placed)
+
+        def one(acc: Column, token: Column) -> Column:
+            kind = token["kind"]
+            led = F.transform(acc["loose"], lambda d: ymd(year_of(token["month"], acc["year"]), token["month"], d))
+            led = F.transform(F.array_compact(led), lambda d: span(d, d))
+
+            def kept(**new: Column) -> Column:
+                fields = ("month", "year", "behind", "own", "near", "open", "spans", "loose", "led")
+                return F.struct(*(new.get(f, acc[f]).alias(f) for f in fields)).cast(_READ)
+
+            return (
+                F.when(kind.isin("full", "partial", "day"), dated(acc, token))
+                .when(kind == "month", kept(month=token["month"], near=F.lit(True), loose=F.array().cast("array<int>"), led=F.concat(acc["led"], led)))
+                .when(kind == "year", kept(year=token["year"], near=F.lit(True)))
+                .when(kind == "range", kept(open=acc["open"] | acc["near"]))
+                .when(kind == "article", acc)
+                .otherwise(kept(near=F.lit(False)))
+            )
 
-    dates = F.array_compact(F.transform(tokens, to_date))
-    end = F.try_element_at(dates, F.lit(-1))
-    first = F.try_element_at(dates, F.lit(1))
-    # "17 al 21 de juny", "5 y 7 de marzo": the bare day shares the first token's month and year.
-    bare = _int(text, rf"\b([0-9]{{1,2}})\s+(?:al?|i|y|and|to)\s+[0-9]{{1,2}}\s+(?:de\s+|d['’]\s*)?(?:{MONTH_PATTERN})", 1)
-    opened = ymd(F.year(first), F.month(first), bare)
-    start = F.coalesce(opened, first)
-    start = F.when(start > end, F.add_months(start, -12)).otherwise(start)
-    known = year.isNotNull()
-    return F.struct(
-        F.when(known, start).alias("start_date"),
-        F.when(known, F.nullif(end, start)).alias("end_date"),
-    )
+        return one
 
+    def read(tokens: Column) -> Column:
+        def fold(printed: Column) -> Column:
+            def result(found: Column) -> Column:
+                spans = F.when(F.size(found["spans"]) > 0, found["spans"]).otherwise(found["led"])
+                return F.struct(F.array_sort(F.array_distinct(spans)).alias("spans"), printed.isNotNull().alias("dated"))
 
-def numeric_span(c: Column | str) -> Column:
-    """``struct<start_date,end_date>`` of ``dd/mm — dd/mm/yy``, day lists and full numeric dates.
+            return let(F.aggregate(F.reverse(tokens), nothing, step(printed)), result)
 
-    A start without a year takes the end's, or the year before when its month is later.
-    """
-    text = _col(c)
-    full = numeric_dates(text)
-    end = F.try_element_at(full, F.lit(-1))
-    before = F.regexp_extract(text, rf"(?s)^(.*?)(?:{NUMERIC_DATE})", 1)
-    partial = r"([0-9]{1,2})/([0-9]{1,2})"
-    p_day, p_month = _int(before, partial, 1), _int(before, partial, 2)
-    p_year = F.year(end) - F.when(p_month > F.month(end), 1).otherwise(0)
-    listed = ymd(F.year(end), F.month(end), _int(before, r"\b([0-9]{1,2})\b", 1))
-    start = (
-        F.when(F.size(full) >= 2, F.try_element_at(full, F.lit(1)))
-        .when(p_day.isNotNull(), ymd(p_year, p_month, p_day))
-        .otherwise(F.coalesce(listed, end))
-    )
-    return F.struct(start.alias("start_date"), F.nullif(end, start).alias("end_date"))
+        return let(F.try_element_at(F.filter(F.transform(tokens, lambda t: t["year"]), lambda y: y.isNotNull()), F.lit(-1)), fold)
 
+    def classed(words: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), words)
+        return F.zip_with(words, F.slice(before, F.lit(1), F.size(words)), _token)
 
-def trailing_month_dates(c: Column | str, year: int | Column) -> Column:
-    """``array<date>`` of a phrase whose month follows its days ("25, 26 June and 1 July").
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHRASE_TOKEN), F.lit(0))
+    return let(let(words, classed), read)
 
-    ``dd/mm`` tokens stand alone. Only when nothing is found is the month read before its days
-    ("July 9").
-    """
-    text = F.lower(F.regexp_replace(_col(c), r"\([^)]*\)", " "))
-    year_col = F.lit(year) if isinstance(year, int) else year
-    tokens = F.regexp_extract_all(text, F.lit(rf"[0-9]{{1,2}}/[0-9]{{1,2}}|[0-9]{{1,2}}|[{_LETTERS}]+"), F.lit(0))
-    start = F.struct(F.lit(None).cast("int").alias("month"), F.array().cast("array<date>").alias("dates"))
 
-    def walk(words: Column, slashed: bool) -> Column:
-        """Every day takes the last month met, in the direction the words are given."""
+def phrase_days(phrase: Column) -> Column:
+    """``array<date>`` of every day of a :func:`date_phrase`, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(phrase["spans"], lambda s: F.sequence(s["start_date"], s["end_date"])))))
 
-        def step(acc: Column, w: Column) -> Column:
-            month = F.coalesce(month_number(w), acc["month"])
-            own = ymd(
-                year_col, whole(F.substring_index(w, "/", -1)), whole(F.substring_index(w, "/", 1))
-            )
-            date = ymd(year_col, acc["month"], whole(w))
-            if slashed:
-                date = F.when(F.contains(w, F.lit("/")), own).otherwise(date)
-            dates = F.when(date.isNotNull(), F.concat(acc["dates"], F.array(date))).otherwise(acc["dates"])
-            return F.struct(month.alias("month"), dates.alias("dates"))
-
-        return F.aggregate(words, start, step)["dates"]
-
-    def read(words: Column) -> Column:
-        return let(
-            walk(F.reverse(words), True),
-            lambda found: F.when(F.size(found) > 0, found).otherwise(walk(words, False)),
-        )
 
-    return F.array_sort(F.array_distinct(let(tokens, read)))
+def phrase_span(phrase: Column) -> Column:
+    """``struct<start_date,end_date>`` from the first to the last day of a :func:`date_phrase`; no end for a single day."""
+    first = F.array_min(F.transform(phrase["spans"], lambda s: s["start_date"]))
+    last = F.array_max(F.transform(phrase["spans"], lambda s: s["end_date"]))
+    return F.struct(first.alias("start_date"), F.nullif(last, first).alias("end_date"))
 
 
 # -- times --------------------------------------------------------------------------------------

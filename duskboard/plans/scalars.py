@@ -284,33 +284,28 @@ def month_number(t: Tables) -> DataFrame:
 
 
 @query("parse_date_phrase", """
-WITH a AS (SELECT *, CAST(d AS INT) AS n, CAST(d2 AS INT) AS n2, CASE WHEN mo < 1 THEN 2025 ELSE 2024 END AS yr FROM f_date_text),
-days AS (
-  SELECT event_id, shape, raw, yr, mo, CAST(y AS INT) AS y,
-    CASE shape WHEN 0 THEN [n] WHEN 1 THEN range(n, n2 + 1) WHEN 2 THEN [n, n2] WHEN 3 THEN list_concat(range(n, n2 + 1), [29, 30])
-               WHEN 4 THEN [n, n2] WHEN 5 THEN [n, n2] WHEN 6 THEN [n, n2] WHEN 7 THEN [n] WHEN 8 THEN [30] ELSE [] END AS dd FROM a),
-ok AS (
-  SELECT event_id, shape, yr, y, mo,
-    list_sort(list_distinct([x for x in [TRY_CAST(CAST(CASE WHEN shape IN (4, 5) THEN y ELSE yr END AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(z AS VARCHAR), 2, '0') AS DATE) for z in dd] if x IS NOT NULL])) AS ds FROM days)
-SELECT event_id,
-  CASE WHEN shape IN (0, 1, 2, 3) THEN array_to_string([strftime(x, '%Y-%m-%d') for x in ds], ',')
-       WHEN shape = 8 THEN array_to_string([strftime(x, '%Y-%m-%d') for x in list_concat(ds, [DATE '2024-12-01'])], ',') ELSE '' END AS catalan,
-  CASE WHEN shape IN (4, 5) THEN strftime(list_min(ds), '%Y-%m-%d') END AS span_start,
-  CASE WHEN shape IN (4, 5) THEN strftime(list_max(ds), '%Y-%m-%d') END AS span_end,
-  CASE WHEN shape = 6 THEN array_to_string([strftime(x, '%Y-%m-%d') for x in list_concat(ds, [DATE '2024-12-30'])], ',')
-       WHEN shape = 7 THEN array_to_string([strftime(x, '%Y-%m-%d') for x in ds], ',') END AS walked
-FROM ok""")
+WITH a AS (SELECT *, CAST(d AS INT) AS n, CAST(d2 AS INT) AS n2, CAST(CASE WHEN shape IN (4, 5, 10, 13) THEN CAST(y AS INT) ELSE 2024 END AS VARCHAR) AS yr FROM f_date_text),
+parts AS (
+  SELECT event_id, yr, CAST(mo AS VARCHAR) AS m, unnest(CASE
+    WHEN shape IN (1, 4) THEN [{'a': n, 'ma': mo, 'z': n2, 'mz': mo}]
+    WHEN shape IN (2, 5) THEN [{'a': n, 'ma': mo, 'z': n, 'mz': mo}, {'a': n2, 'ma': mo, 'z': n2, 'mz': mo}]
+    WHEN shape = 3 THEN [{'a': n, 'ma': mo, 'z': n2, 'mz': mo}, {'a': 29, 'ma': mo, 'z': 29, 'mz': mo}, {'a': 30, 'ma': mo, 'z': 30, 'mz': mo}]
+    WHEN shape = 6 THEN [{'a': n, 'ma': mo, 'z': n, 'mz': mo}, {'a': n2, 'ma': mo, 'z': n2, 'mz': mo}, {'a': 30, 'ma': 12, 'z': 30, 'mz': 12}]
+    WHEN shape IN (0, 7, 14) THEN [{'a': n, 'ma': mo, 'z': n, 'mz': mo}]
+    WHEN shape = 8 THEN [{'a': 30, 'ma': mo, 'z': 30, 'mz': mo}, {'a': 1, 'ma': 12, 'z': 1, 'mz': 12}]
+    WHEN shape IN (10, 13) THEN [{'a': n, 'ma': mo, 'z': n2, 'mz': 12}]
+    WHEN shape = 11 THEN [{'a': 30, 'ma': mo, 'z': 2, 'mz': 12}] ELSE [] END) AS p FROM a),
+spans AS (
+  SELECT event_id, TRY_CAST(yr || '-' || lpad(CAST(p.ma AS VARCHAR), 2, '0') || '-' || lpad(CAST(p.a AS VARCHAR), 2, '0') AS DATE) AS s,
+    TRY_CAST(yr || '-' || lpad(CAST(p.mz AS VARCHAR), 2, '0') || '-' || lpad(CAST(p.z AS VARCHAR), 2, '0') AS DATE) AS e FROM parts),
+days AS (SELECT DISTINCT event_id, CAST(unnest(generate_series(coalesce(s, e), e, INTERVAL 1 DAY)) AS DATE) AS day FROM spans WHERE e IS NOT NULL)
+SELECT t.event_id, coalesce(string_agg(strftime(day, '%Y-%m-%d'), ',' ORDER BY day), '') AS days, min(day) AS start_date, nullif(max(day), min(day)) AS end_date,
+  any_value(shape IN (4, 5, 10, 13)) AS dated
+FROM f_date_text t LEFT JOIN days USING (event_id) GROUP BY t.event_id""")
 def parse_date_phrase(t: Tables) -> DataFrame:
-    def text(arr):
-        return F.array_join(F.transform(arr, lambda d: F.date_format(d, "yyyy-MM-dd")), ",")
-
-    span = D.worded_span("raw")
-    ca = F.when(~F.col("shape").isin(4, 5, 6, 7, 9), D.catalan_dates("raw", F.lit(TODAY)))
-    return t.date_text.select(
-        "event_id", F.coalesce(text(ca), F.lit("")).alias("catalan"),
-        F.date_format(span["start_date"], "yyyy-MM-dd").alias("span_start"),
-        F.date_format(span["end_date"], "yyyy-MM-dd").alias("span_end"),
-        text(F.when(F.col("shape").isin(6, 7), D.trailing_month_dates("raw", 2024))).alias("walked"))
+    read = t.date_text.select("event_id", D.date_phrase("raw", F.lit(TODAY)).alias("phrase"))
+    days = F.transform(D.phrase_days(F.col("phrase")), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return read.select("event_id", F.array_join(days, ",").alias("days"), D.phrase_span(F.col("phrase")).alias("span"), "phrase.dated").select("event_id", "days", "span.*", "dated")
 
 
 @query("infer_year", """

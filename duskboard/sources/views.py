@@ -192,7 +192,7 @@ FROM (VALUES (1, 'gener', 'enero', 'january'), (2, 'febrer', 'febrero', 'februar
              (10, 'octubre', 'octubre', 'october'), (11, 'novembre', 'noviembre', 'november'),
              (12, 'desembre', 'diciembre', 'december')) AS m(month, ca, es, en)"""
 
-# Ten ways to print a date or a run of dates, in three languages; some name impossible days.
+# Fifteen ways to print a date or a run of dates, in three languages; some name impossible days or run backwards.
 VIEWS["f_date_text"] = """
 SELECT event_id, shape, d, d2, mo, y,
   CASE shape
@@ -205,9 +205,14 @@ SELECT event_id, shape, d, d2, mo, y,
     WHEN 6 THEN concat(d, ', ', d2, ' ', en, ' and 30 december')
     WHEN 7 THEN concat(en, ' ', d)
     WHEN 8 THEN concat('30 de ', ca, ' i 1 de desembre')
-    ELSE concat(d, ' de foo') END AS raw
+    WHEN 9 THEN concat(d, ' de foo')
+    WHEN 10 THEN concat(lpad(d, 2, '0'), '/', CAST(m AS @str@), ' — ', d2, '/12/', substr(y, 3, 2))
+    WHEN 11 THEN concat('del 30 de ', ca, ' al 2 de desembre')
+    WHEN 12 THEN concat('Del ', d2, ' al ', d, ' de ', ca)
+    WHEN 13 THEN concat('From ', d, ' ', en, ' to ', d2, ' December ', y)
+    ELSE concat('de 11h a 13h, ', d, ' de ', es, ' a les 20:30') END AS raw
 FROM (
-  SELECT event_id, event_id % 10 AS shape, CAST(1 + event_id % 20 AS @str@) AS d, CAST(3 + event_id % 20 AS @str@) AS d2,
+  SELECT event_id, event_id % 15 AS shape, m.month AS m, CAST(1 + event_id % 20 AS @str@) AS d, CAST(3 + event_id % 20 AS @str@) AS d2,
          m.month AS mo, CAST(2024 + event_id % 2 AS @str@) AS y, ca, es, en
   FROM events JOIN f_month m ON m.month = 1 + event_id % 11
 ) AS a"""

@@ -10,6 +10,10 @@ def days(*ds):
     return [dt.date(2026, m, d) for m, d in ds]
 
 
+def span(evaluate, cases):
+    return [tuple(r) for r in evaluate(lambda c: D.phrase_span(D.date_phrase(c)), list(cases))]
+
+
 def test_catalan_phrases(evaluate):
     cases = {
         "24 de setembre": days((9, 24)),
@@ -23,7 +27,16 @@ def test_catalan_phrases(evaluate):
         "": [],
         "7 de fantasia": [],
     }
-    assert evaluate(lambda c: D.catalan_dates(c, F.lit(dt.date(2026, 6, 1))), list(cases)) == list(cases.values())
+    cases |= {
+        "del 28 al 3 de juliol": [],
+        "Del 29 al 31 de juny i 2 de juliol": days((6, 29), (6, 30), (7, 2)),
+        "del 30 de juny al 2 de juliol": days((6, 30), (7, 1), (7, 2)),
+        "de l'1 al 3 de juliol": days((7, 1), (7, 2), (7, 3)),
+        "dissabte 13 de juny a les 20 h": days((6, 13)),
+        "de 11h a 13h, 5 de juliol": days((7, 5)),
+        "31 de desembre al 1 de gener": [dt.date(2026, 12, 31), dt.date(2027, 1, 1)],
+    }
+    assert evaluate(lambda c: D.phrase_days(D.date_phrase(c, F.lit(dt.date(2026, 6, 1)))), list(cases)) == list(cases.values())
 
 
 def test_worded_spans(evaluate):
@@ -37,7 +50,12 @@ def test_worded_spans(evaluate):
         "el 5 d'abril de 2026": (d(2026, 4, 5), None),
         "sense data": (None, None),
     }
-    assert [tuple(r) for r in evaluate(D.worded_span, list(cases))] == list(cases.values())
+    cases |= {
+        "From 5 January to 7 March 2027": (d(2027, 1, 5), d(2027, 3, 7)),
+        "de l'1 de juliol de 2026 al 2 d'agost de 2026 a les 20.30 h": (d(2026, 7, 1), d(2026, 8, 2)),
+        "12 de febrero de 2026 a 14 de marzo": (d(2026, 2, 12), d(2026, 3, 14)),
+    }
+    assert span(evaluate, cases) == list(cases.values())
 
 
 def test_numeric_spans(evaluate):
@@ -49,18 +67,23 @@ def test_numeric_spans(evaluate):
         "01/02/2026 al 03/02/2026": (d(2026, 2, 1), d(2026, 2, 3)),
         "05/12": (None, None),
     }
-    assert [tuple(r) for r in evaluate(D.numeric_span, list(cases))] == list(cases.values())
+    cases |= {
+        "03/06 — 05/07/24": (d(2024, 6, 3), d(2024, 7, 5)),
+        "05, 08, 09, 14 i 16/11/25": (d(2025, 11, 5), d(2025, 11, 16)),
+        "Del 12.06.2026 al 13.06.2026, 20:30 h": (d(2026, 6, 12), d(2026, 6, 13)),
+    }
+    assert span(evaluate, cases) == list(cases.values())
 
 
 def test_month_after_or_before_its_days(evaluate):
     cases = {
         "25, 26, 30 June and 1, 2 July": days((6, 25), (6, 26), (6, 30), (7, 1), (7, 2)),
-        "From 5 to 8 July (English)": days((7, 5), (7, 8)),
+        "From 5 to 8 July (English)": days((7, 5), (7, 6), (7, 7), (7, 8)),
         "09/07": days((7, 9)),
         "July 9": days((7, 9)),
         "soon": [],
     }
-    assert evaluate(lambda c: D.trailing_month_dates(c, 2026), list(cases)) == list(cases.values())
+    assert evaluate(lambda c: D.phrase_days(D.date_phrase(c, F.lit(dt.date(2026, 1, 1)))), list(cases)) == list(cases.values())
 
 
 def test_any_date_form(evaluate):
