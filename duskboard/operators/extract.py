@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskboard.functions.dates import parse_time_any
-from duskboard.functions.text import clean_text, strip_html
+from duskboard.functions.text import clean_text, let, strip_html
 from duskboard.operators.sequences import forward_fill
 
 #: Patterns tried in order per field; the first non-empty hit wins. Group 1 is the value.
@@ -67,13 +67,79 @@ def parse_jsonld(df: DataFrame, doc: str) -> DataFrame:
 
 
 def extract_blocks(pages: DataFrame, open_pattern: str, html: str = "html") -> DataFrame:
-    """Repeated cards: the text from each opening marker up to the next, with its position."""
+    """Flat repeated cards: the text from each opening marker up to the next, with its position. For cards that lie in
+    cards see :func:`extract_elements`."""
     keys = [c for c in pages.columns if c != html]
     parts = F.split(html, open_pattern)
     blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     return pages.select(*keys, F.posexplode(blocks).alias("pos", "block"))
 
 
+#: A page in pieces that make it up again: comments, scripts and styles as a whole, tags (a quoted ">" ends none), text.
+PIECES = r"""(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+_CARD = "struct<pos: int, parent: int, start: int, end: int>"
+_OPEN = f"struct<at: int, n: int, stack: array<struct<at: int, card: int>>, found: array<{_CARD}>>"
+
+
+def extract_elements(pages: DataFrame, tag: str, opening: str, html: str = "html") -> DataFrame:
+    """Cards that may lie in cards: every element ``tag`` whose opening tag matches ``opening``, whole, from its opening to
+    its own closing tag: ``pos`` (order of the openings), ``parent`` (the card it lies in, else null), ``depth`` and ``block``.
+
+    The page's tags are read once, with a stack of the open elements of this tag; others, closed or not, do not matter, nor
+    do tags in comments and scripts. A closing tag without an opening one is skipped; an element that is never closed ends
+    with the page. A self-closed tag is an empty card. A page without cards, or without text, gives no rows. Nothing is
+    shuffled: a page is one row, and what is kept while it is read is the stack and the cards' places.
+    """
+    keys = [c for c in pages.columns if c != html]
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().alias("stack"), F.array().alias("found")).cast(_OPEN)
+
+    def card_above(stack: Column) -> Column:
+        return F.nullif(F.array_max(F.transform(stack, lambda e: e["card"])), F.lit(-1))
+
+    def step(acc: Column, piece: Column) -> Column:
+        opens = piece.rlike(rf"(?i)^<{tag}[\s/>]")
+        closes = piece.rlike(rf"(?i)^</{tag}[\s>]")
+        card, empty = opens & piece.rlike(opening), F.endswith(piece, F.lit("/>"))
+        end = acc["at"] + F.char_length(piece)
+        top = F.try_element_at(acc["stack"], F.lit(-1))
+        rest = F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0)))
+
+        def state(n: Column, stack: Column, found: Column) -> Column:
+            return F.struct(end.alias("at"), n.alias("n"), stack.alias("stack"), found.alias("found")).cast(_OPEN)
+
+        def place(number: Column, above: Column, at: Column) -> Column:
+            return F.array(F.struct(number.alias("pos"), card_above(above).alias("parent"), at.alias("start"), end.alias("end")).cast(_CARD))
+
+        number = acc["n"] + card.cast("int")
+        pushed = F.concat(acc["stack"], F.array(F.struct(acc["at"].alias("at"), F.when(card, acc["n"]).otherwise(-1).alias("card"))))
+        return (
+            F.when(opens & ~empty, state(number, pushed, acc["found"]))
+            .when(card, state(number, acc["stack"], F.concat(acc["found"], place(acc["n"], acc["stack"], acc["at"]))))
+            .when(closes & (top["card"] >= 0), state(number, rest, F.concat(acc["found"], place(top["card"], rest, top["at"]))))
+            .when(closes, state(number, rest, acc["found"]))
+            .otherwise(state(number, acc["stack"], acc["found"]))
+        )
+
+    def finish(acc: Column) -> Column:
+        def unclosed(e: Column, i: Column) -> Column:
+            above = card_above(F.slice(acc["stack"], F.lit(1), i))
+            return F.struct(e["card"].alias("pos"), above.alias("parent"), e["at"].alias("start"), acc["at"].alias("end")).cast(_CARD)
+
+        left = F.filter(F.transform(acc["stack"], unclosed), lambda e: e["pos"] >= 0)
+        return F.array_sort(F.concat(acc["found"], left))
+
+    pieces = F.regexp_extract_all(html, F.lit(PIECES), F.lit(0))
+    cards = F.aggregate(pieces, start, step, finish)
+
+    def depth(all_cards: Column, e: Column) -> Column:
+        return F.size(F.filter(all_cards, lambda o: (o["start"] < e["start"]) & (o["end"] >= e["end"])))
+
+    placed = let(cards, lambda found: F.transform(found, lambda e: F.struct(
+        e["pos"].alias("pos"), e["parent"].alias("parent"), depth(found, e).alias("depth"),
+        F.substring(F.col(html), e["start"] + 1, e["end"] - e["start"]).alias("block"))))
+    return pages.select(*keys, F.inline(placed))
+
+
 def label_values(df: DataFrame, labels: str, values: str, out: str = "fields") -> DataFrame:
     """Parallel label and value lists to one map; the last of equal labels wins, extra ones are cut."""
     n = F.least(F.size(labels), F.size(values))

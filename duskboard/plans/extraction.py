@@ -50,6 +50,21 @@ def extract_blocks(t: Tables) -> DataFrame:
         "page_id", F.col("pos").cast("bigint").alias("pos"), F.md5(F.col("block").cast("binary")).alias("digest"))
 
 
+SESSION_CARD = """'<div class="card session" id-ses="' || event_id || '-' || i || '"><div>' || t || '</div></div>'"""
+FILM_CARD = """'<div class="card film"><div><b>' || title || '</div><br><div class="list">' || array_to_string([x.b for x in sessions], '') || '</div></div>'"""
+
+
+@query("extract_nested_blocks", f"""
+WITH c AS (SELECT event_id, title, len(start_times) AS k, [{{'n': i, 'b': {SESSION_CARD}}} for t, i in start_times] AS sessions FROM f_event),
+film AS (SELECT event_id, k, sessions, {FILM_CARD} AS b FROM c)
+SELECT event_id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS parent, CAST(0 AS BIGINT) AS depth, md5(b) AS digest FROM film
+UNION ALL SELECT event_id, x.n, 0, 1, md5(x.b) FROM (SELECT event_id, unnest(sessions) AS x FROM film)
+UNION ALL SELECT event_id, k + 1, NULL, 0, md5('<div class="card plain"/>') FROM film""")
+def extract_nested_blocks(t: Tables) -> DataFrame:
+    found = X.extract_elements(t.nested_page, "div", 'class="card ')
+    return found.select("event_id", *[F.col(c).cast("bigint").alias(c) for c in ("pos", "parent", "depth")], F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
 @query("label_value_pairs", """
 SELECT event_id, coalesce(price, '-') AS price, title AS about, coalesce(start_time, '?') AS hours, CAST(3 AS BIGINT) AS n FROM f_event""")
 def label_value_pairs(t: Tables) -> DataFrame:

@@ -278,6 +278,19 @@ SELECT e.event_id, concat('<html lang="ca"><head><title>', title, '</title><scri
     '<article class="plain"><h3>', category, '</h3></article></body></html>') AS html
 FROM f_event e JOIN f_jsonld j ON j.event_id = e.event_id"""
 
+# A film's card with a card per session in it, both plain elements of one kind; comments, scripts and unclosed tags between.
+VIEWS["f_nested_page"] = """
+SELECT event_id, concat('<html><body><!-- <div class="card old"> --><div id="main"><script>var s = "<div class=\\"card \\">";</script><div class="card film"><div><b>', title,
+    '</div><br><div class="list">', @sessions@, '</div></div><div class="card plain"/></div></div></body></html>') AS html
+FROM f_event"""
+
+_SPARK["sessions"] = (
+    "array_join(transform(start_times, (t, i) -> concat('<div class=\"card session\" id-ses=\"', event_id, '-', i + 1, '\"><div>', t, '</div></div>')), '')"
+)
+_DUCK["sessions"] = (
+    "array_to_string([concat('<div class=\"card session\" id-ses=\"', event_id, '-', i, '\"><div>', t, '</div></div>') for t, i in start_times], '')"
+)
+
 # A printed schedule: the words' lines with a date or a time at the left of some of them.
 VIEWS["f_schedule"] = """
 SELECT doc_id, line_no,

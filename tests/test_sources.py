@@ -32,6 +32,27 @@ def test_blocks_links_and_classes(spark):
     assert (r.class_date, r.class_time, r.class_id, r.class_genre, r.class_session) == (dt.date(2026, 6, 10), "20:30", 330, 7, None)
 
 
+def test_cards_in_cards(spark):
+    inner = '<div class="card s"><div>20:30</div></div>'
+    film = f'<DIV title="a > b" class="card f"><div><b>T</div>{inner}<img src="x"/>{inner}</DIV>'
+    pages = {
+        1: f'</div><!-- <div class="card x"> --><div>{film}<script>"</div><div class=\'card \'>"</script>{film}</div>',
+        2: '<div class="card a"><div class="card b"><p>never closed', 3: "no cards", 4: "", 5: None, 6: '<div class="card e"/><divider class="card no"></divider>',
+    }
+    df = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    got = sorted((r.page_id, r.pos, r.parent, r.depth, r.block) for r in X.extract_elements(df, "div", 'class="card ').collect())
+    assert got == [
+        (1, 0, None, 0, film), (1, 1, 0, 1, inner), (1, 2, 0, 1, inner), (1, 3, None, 0, film), (1, 4, 3, 1, inner), (1, 5, 3, 1, inner),
+        (2, 0, None, 0, pages[2]), (2, 1, 0, 1, '<div class="card b"><p>never closed'), (6, 0, None, 0, '<div class="card e"/>'),
+    ]
+
+
+def test_a_page_of_many_cards(spark):
+    html = "".join(f'<div class="card c{i}">' + "<div>" * 20 + "é" * 50 + "</div>" * 20 + "</div>" for i in range(700))
+    found = X.extract_elements(spark.createDataFrame([(html,)], "html string"), "div", 'class="card ').collect()
+    assert len(found) == 700 and "".join(r.block for r in sorted(found, key=lambda r: r.pos)) == html
+
+
 def test_schedule(spark):
     lines = [("intro", "x"), ("12/06 20:30H", "ANNA TRIO"), ("", "soul"), ("8 €", "and more"), ("22H", ""), ("", "LATE JAM"), ("& 23H", "second set"),
              ("13/06 21H", "SOLO"), ("piano", "")]
