@@ -10,7 +10,7 @@ from duskboard.functions.categories import LOCALES
 from duskboard.operators.agenda import all_pages
 from duskboard.plans.registry import TODAY, query
 from duskboard.sources.entities import read_pages
-from duskboard.sources.feeds import parse_feed
+from duskboard.sources.feeds import Field, explode_entries, parse_documents, parse_feed, read_fields
 from duskboard.session import new_folder
 from duskboard.sources.sinks import publish
 from duskboard.sources.snapshots import read_events, write_events
@@ -51,6 +51,19 @@ def scan_json_feed(t: Tables) -> DataFrame:
     return feed.select("event_id", "feed.k", "feed.missing")
 
 
+@query("scan_changing_feed", """
+SELECT event_id, entry_pos, entry_id, begins, hidden, CAST(NULL AS VARCHAR) AS reason FROM (
+  SELECT event_id, CAST(i - 1 AS BIGINT) AS entry_pos, CASE WHEN event_id % 5 <> 0 THEN 's' || i END AS entry_id, start_times[i] AS begins, event_id % 5 <> 0 AND i = 2 AS hidden
+  FROM (SELECT event_id, start_times, unnest(range(1, len(start_times) + 1)) AS i FROM f_event WHERE event_id % 11 NOT IN (4, 5) AND event_id % 5 NOT IN (1, 2)))
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, CASE WHEN event_id % 11 = 5 THEN 'no text' ELSE 'not JSON' END FROM f_event WHERE event_id % 11 IN (4, 5)""")
+def scan_changing_feed(t: Tables) -> DataFrame:
+    """Sessions of documents that list them or key them by id, and the documents that cannot be read."""
+    good, broken = parse_documents(t.feed, "doc")
+    sessions = read_fields(explode_entries(good, "document", "$.sessions"), "entry", {"begins": Field("text", ("$.at",)), "hidden": Field("flag", ("$.hidden",))})
+    sessions = sessions.withColumn("entry_pos", F.col("entry_pos").cast("long"))
+    return sessions.unionByName(broken.select("event_id", "reason"), allowMissingColumns=True)
+
+
 #: All columns of an event, arrays as text.
 EVENT_SQL = """event_id, venue_id, venue_slug, external_id, title, start_date, start_time, array_to_string(start_times, ',') AS start_times, end_date,
   end_time, {price} AS price, description, image_url, source_url, recurrence_hint, array_to_string(annotations, ',') AS annotations, category"""

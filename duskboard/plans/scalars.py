@@ -10,6 +10,7 @@ from duskboard.functions import dates as D
 from duskboard.functions import price as P
 from duskboard.functions import text as X
 from duskboard.plans.registry import TODAY, query
+from duskboard.sources.feeds import Field, localized, parse_documents, read_fields
 from duskboard.sources.views import Tables
 
 
@@ -460,16 +461,15 @@ def keyword_categories(t: Tables) -> DataFrame:
     return t.event.select("event_id", C.keyword_categories("title", KEYWORD_RULES, F.col("category")).alias("category"))
 
 
+#: Where the feed's fields stand.
+FEED_FIELDS = {"title": localized("$.title"), "amount": Field("number", ("$.offer.amount",)), "free": Field("flag", ("$.free",))}
+
+
 @query("json_event_fields", """
-SELECT event_id, d ->> '$[0].name' AS name, d ->> '$[0].offers.priceCurrency' AS currency,
-  coalesce(nullif(d ->> '$[0].description', ''), d ->> '$[0].name') AS shown, coalesce(event_id % 2 = 1, false) AS flag
-FROM (SELECT event_id, TRY_CAST(doc AS JSON) AS d FROM f_jsonld)""")
+SELECT event_id, title, CAST(event_id % 30 + CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS amount, event_id % 7 IN (1, 2, 6) AS free
+FROM f_event WHERE event_id % 11 NOT IN (4, 5)""")
 def json_event_fields(t: Tables) -> DataFrame:
-    schema = "array<struct<name:string,description:string,offers:struct<priceCurrency:string>>>"
-    df = t.jsonld.select("event_id", F.from_json("doc", schema)[0].alias("j"))
-    flag = F.when(F.col("event_id") % 2 == 1, F.lit("1")).otherwise(F.lit("False"))
-    return df.select("event_id", "j.name", F.col("j.offers.priceCurrency").alias("currency"),
-                     F.coalesce(F.nullif("j.description", F.lit("")), "j.name").alias("shown"), C.feed_flag(flag).alias("flag"))
+    return read_fields(parse_documents(t.feed, "doc")[0], "document", FEED_FIELDS)
 
 
 @query("translations_array", """

@@ -291,6 +291,23 @@ _DUCK["sessions"] = (
     "array_to_string([concat('<div class=\"card session\" id-ses=\"', event_id, '-', i, '\"><div>', t, '</div></div>') for t, i in start_times], '')"
 )
 
+# A feed whose documents change their shape: titles plain or by language, flags in any form, sessions as a list or by id.
+VIEWS["f_feed"] = """
+SELECT event_id,
+  CASE WHEN event_id % 11 = 4 THEN '{"title":"cut short' WHEN event_id % 11 = 5 THEN CAST(NULL AS @str@) ELSE
+    concat('{"title":', CASE event_id % 4 WHEN 0 THEN concat('{"ca":"', title, '","es":"ES"}') WHEN 1 THEN concat('{"ca":" ","es":"', title, '"}')
+        WHEN 2 THEN concat('"', title, '"') ELSE concat('{"es":"', title, '"}') END,
+      CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ',"free":true' WHEN 2 THEN ',"free":"1"' WHEN 3 THEN ',"free":0' WHEN 4 THEN ',"free":"False"' WHEN 5 THEN ',"free":null' ELSE ',"free":"yes"' END,
+      ',"offer":{"amount":', CASE WHEN event_id % 3 = 0 THEN concat('"', CAST(event_id % 30 AS @str@), '.5"') ELSE CAST(event_id % 30 AS @str@) END, '}',
+      CASE WHEN event_id % 5 = 0 THEN concat(',"sessions":[', @listed@, ']') WHEN event_id % 5 = 1 THEN ',"sessions":"soon"' WHEN event_id % 5 = 2 THEN ''
+        ELSE concat(',"sessions":{', @keyed@, '}') END, '}') END AS doc
+FROM f_event"""
+
+_SPARK["listed"] = "array_join(transform(start_times, t -> concat('{\"at\":\"', t, '\",\"hidden\":false}')), ',')"
+_DUCK["listed"] = "array_to_string([concat('{\"at\":\"', t, '\",\"hidden\":false}') for t in start_times], ',')"
+_SPARK["keyed"] = "array_join(transform(start_times, (t, i) -> concat('\"s', i + 1, '\":{\"at\":\"', t, '\",\"hidden\":', IF(i = 1, 'true', 'null'), '}')), ',')"
+_DUCK["keyed"] = "array_to_string([concat('\"s', i, '\":{\"at\":\"', t, '\",\"hidden\":', CASE WHEN i = 2 THEN 'true' ELSE 'null' END, '}') for t, i in start_times], ',')"
+
 # A printed schedule: the words' lines with a date or a time at the left of some of them.
 VIEWS["f_schedule"] = """
 SELECT doc_id, line_no,

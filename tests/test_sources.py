@@ -8,7 +8,7 @@ from test_merge import staged, store
 from duskboard.operators import extract as X
 from duskboard.operators import sequences as S
 from duskboard.operators.merge import upsert
-from duskboard.sources.feeds import feed_entries, parse_feed
+from duskboard.sources.feeds import Field, explode_entries, feed_entries, localized, parse_documents, parse_feed, read_fields
 from duskboard.streaming import upserts
 from duskboard.streaming.upserts import init_store, read_store, upsert_stream, written_versions
 
@@ -102,6 +102,26 @@ def test_keyed_feed(spark):
     assert sorted((r.id, r.entry_id, r.entry.t) for r in feed_entries(parsed, "feed").collect()) == [(1, "a", "x"), (1, "b", None)]
 
 
+def test_feed_of_changing_shape(spark):
+    docs = {
+        1: '{"show":{"title":{"ca":"A","es":"B"},"free":"0","n":"7"}}', 2: '{"show":{"title":{"ca":"","es":" B "},"free":true,"n":1.5}}',
+        3: '{"show":{"title":"C","free":{"x":1},"n":[2]}}', 4: '{"show":{"title":{"en":"D"}}}', 5: '[{"x":', 6: None, 7: '"text"', 8: "null", 9: "",
+    }
+    df = spark.createDataFrame(list(docs.items()), "id int, doc string")
+    good, broken = parse_documents(df, "doc")
+    fields = {"title": localized("$.show.title"), "free": Field("flag", ("$.show.free",)), "n": Field("number", ("$.show.n", "$.show.m"))}
+    got = {r.id: (r.title, r.free, r.n) for r in read_fields(good, "document", fields).collect()}
+    assert got == {1: ("A", False, 7.0), 2: ("B", True, 1.5), 3: ("C", False, None), 4: (None, False, None), 7: (None, False, None), 8: (None, False, None)}
+    assert sorted((r.id, r.reason) for r in broken.collect()) == [(5, "not JSON"), (6, "no text"), (9, "not JSON")]
+
+
+def test_entries_by_id_or_in_a_list(spark):
+    docs = {1: '{"s":{"a":{"v":1},"b":{"v":2}}}', 2: '{"s":[{"v":3},null]}', 3: '{"s":"soon"}', 4: "{}", 5: '{"s":[]}', 6: '{"s":null}'}
+    good, _ = parse_documents(spark.createDataFrame(list(docs.items()), "id int, doc string"), "doc")
+    rows = read_fields(explode_entries(good, "document", "$.s"), "entry", {"v": Field("number", ("$.v",))})
+    assert sorted(((r.id, r.entry_pos, r.entry_id, r.v) for r in rows.collect())) == [(1, 0, "a", 1.0), (1, 1, "b", 2.0), (2, 0, None, 3.0), (2, 1, None, None)]
+
+
 def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
     rows = [dict(title=f"T{i}", venue_slug=f"v{i % 4}", external_id=f"e{i}" if i % 3 else None, source_url=f"u{i}",
                  translations=[("es", f"E{i}", None, None)] * (i % 2)) for i in range(24)]
