@@ -43,13 +43,22 @@ def month_number(c: Column | str, prefix: bool = False) -> Column:
 
     ``prefix`` also takes longer words by their first three letters.
     """
-    name = F.lower(F.trim(_col(c)))
-    name = F.translate(name, "çéèàóòíìúù", "ceeaooiiuu")
-    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    found = F.try_element_at(table, name)
-    if prefix:
-        found = F.coalesce(found, F.try_element_at(table, F.substring(name, 1, 3)))
-    return found
+    return let(plain_letters(F.lower(F.trim(_col(c)))), lambda name: _month_named(name, prefix))
+
+
+def plain_letters(text: Column) -> Column:
+    return F.translate(text, "çéèàóòíìúù", "ceeaooiiuu")
+
+
+def _month_named(name: Column, prefix: bool) -> Column:
+    def find(text: Column) -> Column:
+        """A set of all names keeps out what is none; a map of literals would be searched from its start each time."""
+        number = F.lit(None).cast("int")
+        for month in range(12, 0, -1):
+            number = F.when(text.isin(*(n for n, m in MONTHS.items() if m == month)), month).otherwise(number)
+        return F.when(text.isin(*MONTHS), number)
+
+    return F.coalesce(find(name), find(F.substring(name, 1, 3))) if prefix else find(name)
 
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
@@ -188,30 +197,37 @@ PHRASE_TOKEN = (
 )
 #: Words that join a range's start to its end, and words that may stand between those and a date.
 RANGE_WORDS = ("al", "a", "to", "fins", "hasta", "until", "till", "-", "–", "—")
-ARTICLES = ("de", "d", "del", "el", "l", "la", "dia", "día", "of", "the")
+ARTICLES = ("de", "d", "del", "el", "l", "la", "dia", "of", "the")
 
 _SPANS = "array<struct<start_date: date, end_date: date>>"
 _READ = f"struct<month: int, year: int, behind: date, own: int, near: boolean, open: boolean, spans: {_SPANS}, loose: array<int>, led: {_SPANS}>"
 
 
 def _token(word: Column, before: Column) -> Column:
-    """Class and values of a token: full date, day and month, day, year, month, range word, article, time, or other word."""
-    slashed = F.translate(word, ".", "/")
-    first, middle = whole(F.substring_index(slashed, "/", 1)), whole(F.substring_index(F.substring_index(slashed, "/", 2), "/", -1))
-    digits = word.rlike("^[0-9]")
+    """Class and values of a token in plain letters: full date, time, day and month, day, year, month, range word, article
+    or other word. What is used twice is computed once, as no lambda shares its parts."""
+
+    def number(kind: Column) -> Column:
+        def fields(parts: Column) -> Column:
+            part = lambda i: whole(F.try_element_at(parts, F.lit(i)))
+            year = F.when(kind == "full", _full_year(part(3))).when(kind == "year", part(1))
+            return F.struct(kind.alias("kind"), F.when(kind != "year", part(1)).alias("day"), part(2).alias("month"), year.alias("year"))
+
+        return let(F.split(word, "[/.]"), fields)
+
+    def name(month: Column) -> Column:
+        kind = F.when(month.isNotNull(), "month").when(word.isin(*RANGE_WORDS), "range").when(word.isin(*ARTICLES), "article").otherwise("other")
+        none = F.lit(None).cast("int")
+        return F.struct(kind.alias("kind"), none.alias("day"), month.alias("month"), none.alias("year"))
+
     size = F.char_length(word)
-    month = F.when(~digits, month_number(word))
-    month = F.coalesce(month, F.when(~digits & before.isin("de", "d"), month_number(word, prefix=True)))
-    kind = (
-        F.when(digits & slashed.rlike("/.*/"), "full").when(digits & word.rlike("[:.h]"), "time").when(digits & F.contains(word, F.lit("/")), "partial")
-        .when(digits & (size <= 2), "day").when(digits & (size == 4), "year").when(digits, "other")
-        .when(month.isNotNull(), "month").when(word.isin(*RANGE_WORDS), "range").when(word.isin(*ARTICLES), "article").otherwise("other")
+    numeric = (
+        F.when(F.contains(word, F.lit(":")) | F.contains(word, F.lit("h")), "time").when((size > 5) & word.rlike("[/.].*[/.]"), "full")
+        .when(F.contains(word, F.lit("/")), "partial").when(F.contains(word, F.lit(".")), "time")
+        .when(size <= 2, "day").when(size == 4, "year").otherwise("other")
     )
-    year = F.when(kind == "full", _full_year(whole(F.substring_index(slashed, "/", -1)))).when(kind == "year", whole(word))
-    return F.struct(
-        kind.alias("kind"), F.when(kind.isin("full", "partial", "day"), first).alias("day"),
-        F.coalesce(month, F.when(kind.isin("full", "partial"), middle)).alias("month"), year.alias("year"),
-    )
+    month = F.when(size > 2, F.when(before.isin("de", "d"), _month_named(word, True)).otherwise(_month_named(word, False)))
+    return F.when(F.substring(word, 1, 1).between("0", "9"), let(numeric, number)).otherwise(let(month, name))
 
 
 def date_phrase(c: Column | str, today: Column | None = None) -> Column:
@@ -224,7 +240,7 @@ def date_phrase(c: Column | str, today: Column | None = None) -> Column:
     that runs backwards gives nothing; one of two months runs over New Year. Days that only stand behind a month
     ("July 9") count when no others are found. Brackets are left out. Spans are sorted; a single day ends as it starts.
     """
-    text = F.lower(F.regexp_replace(_col(c), r"\([^)]*\)", " "))
+    text = plain_letters(F.lower(F.regexp_replace(_col(c), r"\([^)]*\)", " ")))
     nothing = F.struct(
         F.lit(None).alias("month"), F.lit(None).alias("year"), F.lit(None).alias("behind"), F.lit(None).alias("own"),
         F.lit(False).alias("near"), F.lit(False).alias("open"), F.array().alias("spans"), F.array().alias("loose"), F.array().alias("led"),
@@ -240,32 +256,40 @@ def date_phrase(c: Column | str, today: Column | None = None) -> Column:
 
         def dated(acc: Column, token: Column) -> Column:
             """A token with a day: alone, or the start of the range to the date read before it."""
-            month, year = F.coalesce(token["month"], acc["month"]), F.coalesce(token["year"], acc["year"])
-            shift = F.when(F.coalesce(year, printed).isNotNull(), -12).otherwise(12)
-
-            def placed(date: Column) -> Column:
-                late = date > acc["behind"]
-                crosses = month != acc["own"]
-                start = F.when(late & (shift < 0), F.add_months(date, -12)).otherwise(date)
-                end = F.when(late & (shift > 0), F.add_months(acc["behind"], 12)).otherwise(acc["behind"])
-                last = F.try_element_at(acc["spans"], F.lit(-1))
-                alone = F.coalesce((last["start_date"] == acc["behind"]) & (last["end_date"] == acc["behind"]), F.lit(False))
-                others = F.when(alone, F.slice(acc["spans"], F.lit(1), F.greatest(F.size(acc["spans"]) - 1, F.lit(0)))).otherwise(acc["spans"])
+
+            def placed(at: Column) -> Column:
+                """``at`` is the day's month, year as far as it is printed, and date."""
+                date, behind = at["date"], acc["behind"]
+
+                def ranged(last: Column) -> Column:
+                    alone = F.coalesce((last["start_date"] == behind) & (last["end_date"] == behind), F.lit(False))
+                    others = F.when(alone, F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1)).otherwise(acc["spans"])
+                    past = F.when(at["printed"].isNotNull(), span(F.add_months(date, -12), behind)).otherwise(span(date, F.add_months(behind, 12)))
+                    return (
+                        F.when(date <= behind, F.concat(others, F.array(span(date, behind))))
+                        .when(at["month"] != acc["own"], F.concat(others, F.array(past))).otherwise(others)
+                    )
+
+                opened = acc["open"] & behind.isNotNull()
                 spans = (
-                    F.when(date.isNull(), acc["spans"])
-                    .when(~acc["open"] | acc["behind"].isNull(), F.concat(acc["spans"], F.array(span(date, date))))
-                    .when(late & ~crosses, others)
-                    .otherwise(F.concat(others, F.array(span(start, end))))
-                )
+                    F.when(date.isNull(), acc["spans"]).when(opened, let(F.try_element_at(acc["spans"], F.lit(-1)), ranged))
+                    .otherwise(F.concat(acc["spans"], F.array(span(date, date))))
+                )
                 # A range to a day that its month lacks runs to the month's end.
-                month_end = F.when(token["day"].between(29, 31), F.last_day(ymd(year_of(month, year), month, F.lit(1))))
-                loose = F.when(month.isNull(), F.concat(acc["loose"], F.array(token["day"]))).otherwise(acc["loose"])
-                return F.struct(
-                    month.alias("month"), year.alias("year"), F.coalesce(date, month_end).alias("behind"), month.alias("own"), F.lit(True).alias("near"),
-                    F.lit(False).alias("open"), spans.alias("spans"), loose.alias("loose"), acc["led"].alias("led"),
-                ).cast(_READ)
+                month_end = F.when(token["day"].between(29, 31), F.last_day(ymd(at["year"], at["month"], F.lit(1))))
+                loose = F.when(at["month"].isNull(), F.concat(acc["loose"], F.array(token["day"]))).otherwise(acc["loose"])
+                return F.struct(  # types as in _READ: a cast would copy the arrays
+                    at["month"].alias("month"), F.coalesce(token["year"], acc["year"]).alias("year"), F.coalesce(date, month_end).alias("behind"),
+                    at["month"].alias("own"), F.lit(True).alias("near"), F.lit(False).alias("open"), spans.alias("spans"), loose.alias("loose"), acc["led"].alias("led"),
+                )
+
+            def known(at: Column) -> Column:
+                return F.struct(at["month"].alias("month"), at["printed"].alias("printed"), at["year"].alias("year"), ymd(at["year"], at["month"], token["day"]).alias("date"))
 
-            return let(ymd(year_of(month, year), month, token["day"]), placed)
+            month = F.coalesce(token["month"], acc["month"])
+            year = F.coalesce(token["year"], acc["year"])
+            at = F.struct(month.alias("month"), F.coalesce(year, printed).alias("printed"), year_of(month, year).alias("year"))
+            return let(let(at, known), placed)
 
         def one(acc: Column, token: Column) -> Column:
             kind = token["kind"]
@@ -274,14 +298,13 @@ def date_phrase(c: Column | str, today: Column | None = None) -> Column:
 
             def kept(**new: Column) -> Column:
                 fields = ("month", "year", "behind", "own", "near", "open", "spans", "loose", "led")
-                return F.struct(*(new.get(f, acc[f]).alias(f) for f in fields)).cast(_READ)
+                return F.struct(*(new.get(f, acc[f]).alias(f) for f in fields))
 
             return (
                 F.when(kind.isin("full", "partial", "day"), dated(acc, token))
                 .when(kind == "month", kept(month=token["month"], near=F.lit(True), loose=F.array().cast("array<int>"), led=F.concat(acc["led"], led)))
                 .when(kind == "year", kept(year=token["year"], near=F.lit(True)))
                 .when(kind == "range", kept(open=acc["open"] | acc["near"]))
-                .when(kind == "article", acc)
                 .otherwise(kept(near=F.lit(False)))
             )
 
@@ -295,14 +318,14 @@ def date_phrase(c: Column | str, today: Column | None = None) -> Column:
 
             return let(F.aggregate(F.reverse(tokens), nothing, step(printed)), result)
 
-        return let(F.try_element_at(F.filter(F.transform(tokens, lambda t: t["year"]), lambda y: y.isNotNull()), F.lit(-1)), fold)
+        return let(F.try_element_at(F.filter(tokens, lambda t: t["year"].isNotNull()), F.lit(-1))["year"], fold)
 
     def classed(words: Column) -> Column:
         before = F.concat(F.array(F.lit("")), words)
         return F.zip_with(words, F.slice(before, F.lit(1), F.size(words)), _token)
 
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHRASE_TOKEN), F.lit(0))
-    return let(let(words, classed), read)
+    return let(F.filter(let(words, classed), lambda t: t["kind"] != "article"), read)
 
 
 def phrase_days(phrase: Column) -> Column:
