@@ -1,6 +1,6 @@
 """Joins of listings with what belongs to them.
 
-A side is broadcast by hand only behind a count (:func:`broadcast_if_small`). Otherwise sizes are left
+A side is broadcast by hand only behind a count of its bytes (:func:`broadcast_if_small`). Otherwise sizes are left
 to Spark's threshold and to adaptive execution, which also splits skewed partitions. Literal lookup
 tables (at most a few dozen rows) travel as map expressions instead of joins.
 """
@@ -11,20 +11,46 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes up to which a side is sent to every task.
+BROADCAST_BYTES = 32 << 20
 
-#: Rows up to which a side is sent to every task. The tables meant are lists and venues: short rows.
-BROADCAST_ROWS = 200_000
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: eight a number, a text's own length, what nested columns take as text."""
+    widths = []
+    for field in df.schema.fields:
+        text = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
+        c = F.to_json(F.struct(F.col(f"`{field.name}`"))) if nested else F.col(f"`{field.name}`")
+        widths.append(F.coalesce(F.octet_length(c), F.lit(0)) + 8 if text or nested else F.lit(8))
+    return sum(widths[1:], widths[0]).cast("bigint")
 
-def broadcast_if_small(df: DataFrame, bounded_by: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, given only after counting; a larger side is left to a shuffled join.
 
-    ``bounded_by`` may name a table with at least as many rows that is cheaper to count, such as the
-    stored one ``df`` is made from. The count stops at ``max_rows``.
+def broadcast_if_small(df: DataFrame, bounded_by: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint, given only after adding up the bytes of the rows; a larger side is left to a shuffled join.
+
+    ``bounded_by`` may name a table of at least as many bytes that is cheaper to read, such as the stored one ``df`` is
+    made from. Every task adds up its share, so nothing but sums is sent.
     """
     counted = df if bounded_by is None else bounded_by
-    return F.broadcast(df) if counted.limit(max_rows + 1).count() <= max_rows else df
+    size = counted.agg(F.sum(row_bytes(counted)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` that no heavy key of ``left`` can hold up.
+
+    A key is heavy if its rows would fill a quarter of a partition or more. There are at most four a partition, so their
+    rows of ``right`` (few a key) go to all tasks, and only the other rows are shuffled.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
+    heavy = counts.filter(F.col("_n") * (4 * parts) > total).select(key)
+    light = left.join(F.broadcast(heavy), key, "left_anti").join(right, key)
+    return light.unionByName(left.join(F.broadcast(right.join(F.broadcast(heavy), key)), key))
 
 
 def whitelist(
@@ -138,19 +164,27 @@ def enrich(
 
 
 def resolve_ids(
-    df: DataFrame, key: str, ids: str, dim: DataFrame, dim_id: str, dim_title: str, out: str
+    df: DataFrame, key: str, ids: str, dim: DataFrame, dim_id: str, dim_title: str, out: str, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Array of ids to the array of their titles, in order; unknown ids are left out.
+    """Array of ids to the array of their titles, in order; unknown and null ids are left out, a row without any gets an
+    empty array.
 
-    The row's other columns travel along, so one shuffle by ``key`` (unique per row) puts it together
-    again; what is gathered is one row's own array.
+    Only key, position and id are exploded. The other columns stay in one row per key, and both meet in one shuffle by
+    the hashes of ``key``, which is unique per row; what is gathered is one row's own array. Titles go to all tasks if they are few bytes, else by :func:`spread_join`: an id that stands in
+    every row is no hot key.
     """
-    rest = [c for c in df.columns if c not in (key, ids)]
-    flat = df.select(key, *rest, F.posexplode_outer(ids).alias("_pos", "_id"))
-    named = flat.join(dim.select(F.col(dim_id).alias("_id"), F.col(dim_title).alias("_title")), "_id", "left")
-    found = F.when(F.col("_title").isNotNull(), F.struct("_pos", "_title"))
-    titles = F.transform(F.array_sort(F.collect_list(found)), lambda s: s["_title"])
-    return named.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], titles.alias(out))
+    names = dim.select(F.col(dim_id).alias("_id"), F.col(dim_title).alias("_title")).filter(F.col("_title").isNotNull())
+    both = ["_h1", "_h2"]  # of the key, which may be wide
+    hashed = df.withColumns({"_h1": F.xxhash64(key), "_h2": F.xxhash64(F.lit(1), key)})
+    flat = hashed.select(*both, F.posexplode(ids).alias("_pos", "_id")).filter(F.col("_id").isNotNull())
+    small = broadcast_if_small(names, max_bytes=max_bytes)
+    named = spread_join(flat, names, "_id") if small is names else flat.join(small, "_id")
+    rest = [c for c in df.columns if c != ids]
+    own = hashed.select(*both, F.struct(*rest).alias("_rest"))  # a row's other columns, once
+    parts = own.unionByName(named.select(*both, "_pos", "_title"), allowMissingColumns=True)
+    pieces = F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_title")))
+    titles = F.transform(F.array_sort(pieces), lambda s: s["_title"])
+    return parts.groupBy(*both).agg(F.first("_rest", ignorenulls=True).alias("_rest"), titles.alias(out)).select(*(f"_rest.{c}" for c in rest), out)
 
 
 def slug_join(
