@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskboard.functions.text import let
+
 #: How many ranges a group is cut into; bounds the running sum to a constant number of cells.
 SLICES = 256
 
@@ -48,6 +50,41 @@ def cells(values: DataFrame, column: str, least_width: int = 1) -> Column:
     return F.when(v < 0, number(b["a"], b["b"]) - 2 * SLICES).otherwise(number(b["c"], b["d"]))
 
 
+#: Cells of :func:`with_balanced_cell`, a power of two; and the accuracy of their bounds' ranks.
+BALANCED, ACCURACY = 128, 2000
+
+
+def with_balanced_cell(df: DataFrame, values: DataFrame, column: str, out: str = "_cell") -> DataFrame:
+    """``df`` with the number of the cell a value lies in, ascending with the value: as many of ``values`` in each, whatever
+    far-off ones there are. The bounds are quantiles of a mergeable sketch, one short array for all tasks; equal values are
+    one cell. Null is the first cell."""
+    ranks = F.lit([i / BALANCED for i in range(1, BALANCED)])
+    bounds = values.agg(F.percentile_approx(F.col(column), ranks, ACCURACY).alias("b")).scalar()
+
+    def search(step: int) -> Callable[[Column], Column]:
+        return lambda i: i + F.when(F.col(column) >= F.get("_bounds", i + (step - 1)), step).otherwise(0)
+
+    cell = F.lit(0)
+    step = BALANCED // 2
+    while step:  # binary search for the number of bounds at or below the value
+        cell = let(cell, search(step))
+        step //= 2
+    return df.withColumn("_bounds", bounds).withColumn(out, cell).drop("_bounds")
+
+
+def number_rows(df: DataFrame, key: str, out: str, cells: int = 1024) -> DataFrame:
+    """Dense numbers from 0, the same on every run: by cells of the key's hash and by the key inside. ``key`` is unique.
+
+    Cells are counted, their offsets added up over the counts, and rows numbered inside; no task sees more than a cell.
+    """
+    cut = df.withColumn("_cell", F.pmod(F.xxhash64(key), F.lit(cells)))
+    counts = cut.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))  # at most ``cells`` rows
+    offsets = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1)
+    return ranked.join(F.broadcast(offsets), "_cell").select(*df.columns, (F.col("_before") + F.col("_rank")).alias(out))
+
+
 def index_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,11 +97,11 @@ def index_within(
     """0-based position by ``coarse + [split] + ties`` inside each ``keys`` group.
 
     A group is cut along its own order: by the coarse columns (few values) and by ranges of
-    the numeric ``split`` column (:func:`cells`). Positions are counted inside the cells, and the cells' offsets
+    the numeric ``split`` column (:func:`with_balanced_cell`). Positions are counted inside the cells, and the cells' offsets
     come from a running sum over their counts, so no task ever holds a whole group. ``values`` may
     name a cheaper table that covers the range of ``split``, such as the one it comes from.
     """
-    cut = df.withColumn("_cell", cells(df if values is None else values, split))
+    cut = with_balanced_cell(df, df if values is None else values, split)
     cell = [*keys, *coarse, "_cell"]
     counts = cut.groupBy(*cell).agg(F.count("*").alias("_n"))
     running = (

@@ -115,7 +115,27 @@ def test_seed_is_idempotent(spark):
     assert once.count() == 3 and M.merge_memberships(more, once).count() == 3
     dims = spark.createDataFrame([(1, "a", "old")], "id long, slug string, name string")
     defs = spark.createDataFrame([("a", "new"), ("b", "B")], "slug string, name string")
-    assert sorted((r.id or 0, r.slug, r.name) for r in M.merge_dims(defs, dims, update=["name"]).collect()) == [(0, "b", "B"), (1, "a", "new")]
+    assert sorted((r.id, r.slug, r.name) for r in M.merge_dims(defs, dims, update=["name"]).collect()) == [(1, "a", "new"), (2, "b", "B")]
+
+
+def test_new_dimensions_get_ids(spark):
+    dims = spark.createDataFrame([(7, "a", "A"), (40, "b", "B")], "id long, slug string, name string")
+    defs = spark.createDataFrame([(f"v{i}", f"V{i}") for i in range(300)] + [("v5", "U5"), ("b", "x")], "slug string, name string")
+    ids = lambda df: {r.slug: (r.id, r.name) for r in df.collect()}
+    got = ids(M.merge_dims(defs, dims))
+    assert got == ids(M.merge_dims(defs.repartition(7, "name"), dims.repartition(2)))
+    assert got["a"] == (7, "A") and got["b"] == (40, "B") and got["v5"][1] == "U5"
+    assert sorted(i for i, _ in got.values()) == [7, 40, *range(41, 341)]
+    # A second seed changes no id, and new rows come behind.
+    merged = M.merge_dims(defs, dims)
+    stored = spark.createDataFrame(merged.collect(), merged.schema)
+    again = ids(M.merge_dims(spark.createDataFrame([("v3", "V3"), ("new", "N")], "slug string, name string"), stored))
+    assert again["new"][0] == 341 and {k: v for k, v in again.items() if k != "new"} == got
+    # Events of a new venue find it.
+    events = spark.createDataFrame([(1, "v9")], "event_id long, slug string")
+    assert events.join(merged, "slug").filter("id IS NOT NULL").count() == 1
+    none = M.merge_dims(defs.limit(3), dims.limit(0))
+    assert sorted(r.id for r in none.collect()) == [1, 2, 3]
 
 
 def test_schema_check(spark):
@@ -155,6 +175,19 @@ def test_positions_of_minted_and_serial_ids(spark):
     assert got == {v: i for i, v in enumerate(ids)}
 
 
+def test_far_off_ids_leave_cells_even(spark):
+    from duskboard.operators.ranking import index_within, with_balanced_cell
+
+    ids = [*range(5000), 10**15, -(10**17), None]
+    df = spark.createDataFrame([(i % 3, i) if i is not None else (0, None) for i in ids], "day int, id long")
+    sizes = [r["count"] for r in with_balanced_cell(df, df, "id").groupBy("_cell").count().collect()]
+    assert max(sizes) < 0.03 * len(ids)
+    got = {(r.day, r.id): r.idx for r in index_within(df, ["day"], [], "id").collect()}
+    for day in range(3):
+        own = sorted((i for d, i in got if d == day), key=lambda i: (i is not None, i or 0))
+        assert [got[day, i] for i in own] == list(range(len(own)))
+
+
 def test_children_follow_the_matched_event(spark):
     """Categories and translations of a matched event are replaced, those of others kept; they round-trip through their tables."""
     one = lambda lang, title: (lang, title, None, None)
