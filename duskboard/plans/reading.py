@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskboard.functions.categories import LOCALES
 from duskboard.operators.agenda import all_pages
 from duskboard.plans.registry import TODAY, query
-from duskboard.sources.entities import read_pages
+from duskboard.plans.reports import PAGES_SQL
+from duskboard.plans.digests import ABSENT, SOURCES, digests, sql_digests
+from duskboard.sources.entities import read_entity, read_pages
 from duskboard.sources.feeds import Field, explode_entries, parse_documents, parse_feed, read_fields
 from duskboard.session import new_folder
 from duskboard.sources.sinks import publish
@@ -17,24 +18,14 @@ from duskboard.sources.snapshots import read_events, write_events
 from duskboard.sources.views import Tables
 
 
-@query("scan_entities", """
-SELECT 'city' AS entity, count(*) AS n, CAST(min(city_id) AS VARCHAR) AS first_key FROM f_city
-UNION ALL SELECT 'category', count(*), CAST(min(category_id) AS VARCHAR) FROM f_category
-UNION ALL SELECT 'venue', count(*), CAST(min(venue_id) AS VARCHAR) FROM f_venue
-UNION ALL SELECT 'event', count(*), CAST(min(event_id) AS VARCHAR) FROM f_event
-UNION ALL SELECT 'event_category', count(*), CAST(min(event_id) AS VARCHAR) FROM f_event_category
-UNION ALL SELECT 'event_translation', count(*), CAST(min(event_id) AS VARCHAR) FROM f_translation
-UNION ALL SELECT 'list', count(*), CAST(min(list_id) AS VARCHAR) FROM f_list
-UNION ALL SELECT 'list_venue', count(*), CAST(min(list_id) AS VARCHAR) FROM f_list_venue""")
+@query("scan_entities", sql_digests(dict.fromkeys(SOURCES, "true")))
 def scan_entities(t: Tables) -> DataFrame:
-    keys = {"city": (t.city, "city_id"), "category": (t.category, "category_id"), "venue": (t.venue, "venue_id"),
-            "event": (t.event, "event_id"), "event_category": (t.event_category, "event_id"),
-            "event_translation": (t.translation, "event_id"), "list": (t.list, "list_id"), "list_venue": (t.list_venue, "list_id")}
-    out = None
-    for name, (df, key) in keys.items():
-        one = df.agg(F.count("*").alias("n"), F.min(key).cast("string").alias("first_key")).select(F.lit(name).alias("entity"), "n", "first_key")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Stores every entity and reads it with its declared schema."""
+    path = new_folder(t.spark, "entities")
+    for name, view in SOURCES.items():
+        t.view(view).write.parquet(f"{path}/{name}")
+    tables = {name: read_entity(t.spark, path, name) for name in SOURCES}
+    return digests({name: df.drop(*ABSENT.get(name, ())) for name, df in tables.items()})
 
 
 @query("scan_pages", "SELECT page_id, url, length(html) AS n_chars, md5(html) AS digest FROM pages")
@@ -88,20 +79,12 @@ def sink_events(t: Tables) -> DataFrame:
     return flat(before).select(F.lit(first).alias("version"), "*").unionByName(flat(after).select(F.lit(second).alias("version"), "*"))
 
 
-@query("publish_agenda", """
-WITH hits AS (
-  SELECT DISTINCT l.slug AS list_slug, e.event_id, e.start_date, e.start_time, e.start_times
-  FROM f_list l JOIN f_list_venue lv ON lv.list_id = l.list_id JOIN f_event e ON e.venue_id = lv.venue_id
-  WHERE l.author = 'house' AND e.start_date >= DATE '2024-01-14'
-    AND (lv.whitelist_category_id IS NULL OR EXISTS (SELECT 1 FROM f_event_category ec WHERE ec.event_id = e.event_id AND ec.category_id = lv.whitelist_category_id))),
-x AS (SELECT list_slug, start_date, unnest(CASE WHEN len(start_times) > 0 THEN start_times ELSE [start_time] END) AS t FROM hits),
-d AS (SELECT list_slug, CASE WHEN t < '05:00' THEN CAST(start_date - INTERVAL 1 DAY AS DATE) ELSE start_date END AS logical_date, t FROM x)
-SELECT locale, list_slug, count(*) AS n, count(t) AS n_timed, count(DISTINCT logical_date) AS n_days
-FROM d, (VALUES ('ca'), ('es'), ('en')) AS v(locale) WHERE logical_date >= DATE '2024-01-15' GROUP BY ALL""")
+@query("publish_agenda", "WITH " + PAGES_SQL + """
+SELECT locale, list_slug, logical_date, time_key, event_id, sp AS session_pos, title, start_time, venue_name, price, source_url FROM pages_rows""")
 def publish_agenda(t: Tables) -> DataFrame:
     pages = all_pages(t.list, t.list_venue, t.venue, t.event, t.event_category, t.translation, TODAY, LOCALES)
     path = new_folder(t.spark, "agenda")
     publish(pages, path, "parquet")
     stored = t.spark.read.schema(pages.schema).parquet(path)
-    return stored.groupBy("locale", "list_slug").agg(
-        F.count("*").alias("n"), F.count("start_time").alias("n_timed"), F.count_distinct("logical_date").alias("n_days"))
+    columns = ("locale", "list_slug", "logical_date", "time_key", "event_id", "session_pos", "title", "start_time", "venue_name", "price", "source_url")
+    return stored.withColumn("session_pos", F.col("session_pos").cast("long")).select(*columns)

@@ -51,14 +51,13 @@ H1 = r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
 @query("clean_text", rf"""
 SELECT doc_id AS id, 'doc' AS kind, md5({sq(ents('text'))}) AS cleaned, length({sq(ents('text'))}) AS n FROM documents
 UNION ALL
-SELECT page_id, 'page', md5({sq(ents(H1))}), length({sq(ents(H1))}) FROM pages""")
+SELECT page_id, 'page', md5({sq(ents('html'))}), length({sq(ents('html'))}) FROM pages""")
 def clean_text(t: Tables) -> DataFrame:
     def shape(df, key, kind, c):
         df = df.select(F.col(key).alias("id"), F.lit(kind).alias("kind"), X.clean_text(c).alias("text"))
         return df.select("id", "kind", F.md5(F.col("text").cast("binary")).alias("cleaned"), F.length("text").cast("bigint").alias("n"))
 
-    h1 = F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1)
-    return shape(t.documents, "doc_id", "doc", "text").unionByName(shape(t.pages, "page_id", "page", h1))
+    return shape(t.documents, "doc_id", "doc", "text").unionByName(shape(t.pages, "page_id", "page", "html"))
 
 
 @query("strip_html", f"SELECT page_id, md5({visible('html')}) AS text_md5, length({visible('html')}) AS n FROM pages")
