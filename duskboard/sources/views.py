@@ -308,15 +308,6 @@ _DUCK["listed"] = "array_to_string([concat('{\"at\":\"', t, '\",\"hidden\":false
 _SPARK["keyed"] = "array_join(transform(start_times, (t, i) -> concat('\"s', i + 1, '\":{\"at\":\"', t, '\",\"hidden\":', IF(i = 1, 'true', 'null'), '}')), ',')"
 _DUCK["keyed"] = "array_to_string([concat('\"s', i, '\":{\"at\":\"', t, '\",\"hidden\":', CASE WHEN i = 2 THEN 'true' ELSE 'null' END, '}') for t, i in start_times], ',')"
 
-# A printed schedule: the words' lines with a date or a time at the left of some of them.
-VIEWS["f_schedule"] = """
-SELECT doc_id, line_no,
-  CASE WHEN line_no % 9 = 2 THEN concat(CAST(1 + line_no % 28 AS @str@), '/', CAST(1 + doc_id % 12 AS @str@), ' 20:30H')
-       WHEN line_no % 9 = 5 THEN '22H' WHEN line_no % 9 = 6 THEN '& 23H' WHEN line_no % 9 = 7 THEN concat(CAST(5 + doc_id % 20 AS @str@), ' €')
-       WHEN line_no % 9 = 3 THEN '' ELSE first_word END AS left_text,
-  CASE WHEN line_no % 18 IN (5, 8) THEN '' ELSE rest END AS right_text
-FROM (SELECT doc_id, CAST(floor(top_px / 20) AS BIGINT) AS line_no, min(word) AS first_word, max(word) AS rest FROM f_words GROUP BY doc_id, floor(top_px / 20)) AS a"""
-
 _NAME = re.compile(r"\b(f_[a-z_]+)\b")
 
 
