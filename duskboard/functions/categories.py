@@ -91,6 +91,14 @@ def keyword_categories(text: Column | str, rules: Sequence[tuple[str, str]], def
     return fallback if chain is None else chain.otherwise(fallback)
 
 
+def added_categories(text: Column | str, rules: Sequence[tuple[str, str]], base: Column | str) -> Column:
+    """``array<string>`` of the base category and those of all patterns that a text matches, in rule order."""
+    low = F.lower(_col(text))
+    first = F.lit(base) if isinstance(base, str) else base
+    more = [F.when(F.coalesce(low.rlike(pattern), F.lit(False)), F.lit(slug)) for pattern, slug in rules]
+    return F.array_distinct(F.array_compact(F.array(first, *more)))
+
+
 def any_label(arr: Column | str, triggers: Sequence[str]) -> Column:
     """Whether a row carries any of the trigger labels."""
     return F.coalesce(F.arrays_overlap(_col(arr), F.array(*[F.lit(t) for t in triggers])), F.lit(False))

@@ -113,9 +113,19 @@ def structured_price(
     availability: Column | str,
     min_price: Column | str | None = None,
     max_price: Column | str | None = None,
+    cents: bool = False,
 ) -> Column:
-    """Price from a number, an availability URL and an optional min/max specification."""
+    """Price from a number, an availability URL and an optional min/max specification: in whole euros, or with ``cents`` the
+    number as it stands, without zeros at its end."""
     value = _col(price).try_cast("double")
+    if cents:
+        top = F.bround(value * 100, 0).cast("long")
+        rest = F.regexp_replace(F.lpad((top % 100).cast("string"), 2, "0"), "0+$", "")
+        shown = F.concat(F.floor(top / 100).cast("string"), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("€"))
+        return (
+            F.when(F.endswith(_col(availability), F.lit("SoldOut")), F.lit("sold-out"))
+            .when(top.isNull(), F.lit(None).cast("string")).when(top == 0, F.lit("free")).otherwise(shown)
+        )
     low = value if min_price is None else F.coalesce(_col(min_price).try_cast("double"), value)
     high = value if max_price is None else F.coalesce(_col(max_price).try_cast("double"), value)
     lo, hi = F.bround(low, 0).cast("int"), F.bround(high, 0).cast("int")

@@ -230,19 +230,19 @@ WITH a AS (SELECT event_id, TRY_CAST(json_extract_string(d, '$[0].offers.price')
 b AS (SELECT *, CAST(round_even(p, 0) AS INT) AS lo, CAST(round_even(p * 3, 0) AS INT) AS hi FROM a)
 SELECT event_id, CASE WHEN av LIKE '%SoldOut' THEN 'sold-out' WHEN p IS NULL THEN NULL WHEN p = 0 THEN 'free' ELSE lo || '€' END AS flat,
   CASE WHEN av LIKE '%SoldOut' THEN 'sold-out' WHEN p IS NULL THEN NULL WHEN p = 0 THEN 'free' ELSE {RANGE.format(lo='lo', hi='hi')} END AS ranged,
+  CASE WHEN av LIKE '%SoldOut' THEN 'sold-out' WHEN p IS NULL THEN NULL WHEN p = 0 THEN 'free' WHEN p = floor(p) THEN CAST(p AS BIGINT) || '€' ELSE CAST(p AS VARCHAR) || '€' END AS exact,
   CASE WHEN event_id % 100 = 0 THEN ((event_id % 4000) // 100) || '€' ELSE ((event_id % 4000) // 100) || ',' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') || '€' END AS from_cents
 FROM b""")
 def structured_price(t: Tables) -> DataFrame:
     doc = t.jsonld
-    price = F.get_json_object("doc", "$[0].offers.price")
     ok = F.from_json("doc", "array<struct<offers:struct<price:string,availability:string>>>")
     a = doc.select("event_id", ok[0]["offers"]["price"].alias("p"), ok[0]["offers"]["availability"].alias("av"))
-    del price
     cents = F.array(F.lit("n/a"), F.lit("0"), (F.col("event_id") % 4000).cast("string"))
     top = F.col("p").try_cast("double") * 3
     return a.select(
         "event_id", P.structured_price("p", "av").alias("flat"),
-        P.structured_price("p", "av", F.col("p"), top).alias("ranged"), P.cents_price(cents).alias("from_cents"))
+        P.structured_price("p", "av", F.col("p"), top).alias("ranged"),
+        P.structured_price("p", "av", cents=True).alias("exact"), P.cents_price(cents).alias("from_cents"))
 
 
 @query("price_bounds", r"""
@@ -455,9 +455,13 @@ KEYWORD_RULES = [("ring|bolt", "dance"), ("widget.*\\(vose\\)|gear", "kids"), ("
 
 @query("keyword_categories", r"""
 SELECT event_id, CASE WHEN regexp_matches(lower(title), 'ring|bolt') THEN 'dance' WHEN regexp_matches(lower(title), 'widget.*\(vose\)|gear') THEN 'kids'
-  WHEN regexp_matches(lower(title), '^hot ') THEN 'flamenco' ELSE category END AS category FROM f_event""")
+  WHEN regexp_matches(lower(title), '^hot ') THEN 'flamenco' ELSE category END AS category,
+  concat_ws(',', category, CASE WHEN regexp_matches(lower(title), 'ring|bolt') THEN 'dance' END, CASE WHEN regexp_matches(lower(title), 'widget.*\(vose\)|gear') THEN 'kids' END,
+    CASE WHEN regexp_matches(lower(title), '^hot ') THEN 'flamenco' END) AS with_added FROM f_event""")
 def keyword_categories(t: Tables) -> DataFrame:
-    return t.event.select("event_id", C.keyword_categories("title", KEYWORD_RULES, F.col("category")).alias("category"))
+    base = F.col("category")
+    return t.event.select("event_id", C.keyword_categories("title", KEYWORD_RULES, base).alias("category"),
+                          F.array_join(C.added_categories("title", KEYWORD_RULES, base), ",").alias("with_added"))
 
 
 #: Where the feed's fields stand.

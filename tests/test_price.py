@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from duskboard.functions import price as P
 
 
@@ -38,4 +36,5 @@ def test_structured_and_cents(spark):
     assert [r[0] for r in df.select(P.structured_price("p", "a")).collect()] == ["12€", "free", "sold-out", None, None]
     cents = spark.createDataFrame([(["600", "750"],), (["600", "x"],), ([],), (None,)], "c array<string>")
     assert [r[0] for r in cents.select(P.cents_price("c")).collect()] == ["7,50€", "6€", None, None]
-    assert F is not None
+    df = spark.createDataFrame([("12.50", None), ("12.05", None), ("30", None), ("0.00", None), ("7.999", None), ("9", "x/SoldOut"), ("x", None)], "p string, a string")
+    assert [r[0] for r in df.select(P.structured_price("p", "a", cents=True)).collect()] == ["12.5€", "12.05€", "30€", "free", "8€", "sold-out", None]
