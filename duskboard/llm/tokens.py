@@ -4,7 +4,8 @@ Byte-level BPE with the pattern of the given vocabulary never joins what stands
 run with the run itself: a piece that starts with no white space ends before the next one. So the ids
 of a text are the ids of its parts "white space, then non-space" one after another, and a part that
 came before need not be encoded again. Likewise a line feed before a word and a stop or comma after a
-letter or digit are pieces of their own. The parts are encoded by the tokenizers library.
+letter or digit are pieces of their own. The vocabulary's added token holds no white space, so a text is cut
+around it in the part it stands in as it is in the whole. The parts are encoded by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = limit
         self.own = dict(zip("\n.,", self._encode(list("\n.,")), strict=True))
         self.known: dict[str, bytes] = {}
