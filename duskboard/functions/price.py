@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 from duskboard.functions.text import _col, let
 
 # Marker words of each pricing policy, matched on lower-cased text.
-FREE = "gratu[ïi]?t|gratu[ïi]ta|accés\\s+lliure|entrada\\s+(lliure|libre|gratu)|activitat\\s+gratu|(?<![\\p{L}-])free(?![\\p{L}-])"
-SOLD_OUT = "exhaurit|esgotad|esgotat|sold[\\s-]*out|s\\.o\\."
+FREE = {
+    "sold_free_amount": "gratu[ïi]",
+    "free_sold_amount": "entrada\\s+gratu[ïi]?ta|activitat\\s+gratu[ïi]?ta|gratu[ïi]?t",
+    "amount_sold_free": "accés\\s+lliure|entrada\\s+gratu|activitat\\s+gratu|gratu[ïi]ta?|entrada\\s+libre|free",
+    "sold_amount_free": "\\bfree\\b|gratu[ïi]?t|entrada\\s+lliure",
+    "bundled_amount_free": "gratu[ïi]?t",
+}
+SOLD_OUT = {
+    "sold_free_amount": "exhaurit|esgotat|sold.?out",
+    "free_sold_amount": "\\bsold[- ]?out\\b|esgotat",
+    "amount_sold_free": "\\bs\\.?\\s*o\\.?\\b|exhaurit|sold\\s*out|esgotad",
+    "sold_amount_free": "sold[- ]?out|esgotat|s\\.o\\.",
+}
 UNKNOWN = "(a|per)\\s+determinar|tbd"
 BUNDLED = "inclòs|preu de l'entrada"
 
@@ -78,8 +89,8 @@ def normalize_price(c: Column | str, policy: str, rounding: str | None = None) -
         rules = {
             "unknown": (t.rlike(UNKNOWN), F.lit(None).cast("string")),
             "bundled": (t.rlike(BUNDLED), F.lit("free")),
-            "sold": (t.rlike(SOLD_OUT), F.lit("sold-out")),
-            "free": (t.rlike(FREE), F.lit("free")),
+            "sold": (t.rlike(SOLD_OUT.get(policy, "$^")), F.lit("sold-out")),
+            "free": (t.rlike(FREE[policy]), F.lit("free")),
             "amount": (n > 0, shown.otherwise(format_eur_range(lo, hi))),
             # A range only where the text says "from .. to ..", else the highest price.
             "phrase_amount": (

@@ -187,6 +187,10 @@ def format_eur_range(t: Tables) -> DataFrame:
                                P.format_eur_range(F.lit(0), F.col("lo") - 5).alias("edge"))
 
 
+def marked(words: dict[str, str], policy: str) -> str:
+    return f"regexp_matches(r, '{words[policy]}')"
+
+
 @query("normalize_price", f"""
 WITH a AS (SELECT event_id, lower(trim(raw)) AS r FROM f_price_text),
 b AS (SELECT event_id, r,
@@ -196,17 +200,19 @@ b AS (SELECT event_id, r,
      regexp_extract_all(r, '€\\s*[0-9]+-([0-9]+)', 1))] AS v FROM a),
 c AS (SELECT event_id, r, len(v) AS n,
   CAST(floor(list_min(v)) AS INT) AS lo_f, CAST(floor(list_max(v)) AS INT) AS hi_f,
-  CAST(round_even(list_min(v), 0) AS INT) AS lo_e, CAST(round_even(list_max(v), 0) AS INT) AS hi_e,
-  regexp_matches(r, 'exhaurit|esgotad|esgotat|sold[\\s-]*out|s\\.o\\.') AS sold,
-  regexp_matches(r, 'gratu[ïi]?t|accés\\s+lliure|entrada\\s+(lliure|libre|gratu)|activitat\\s+gratu|free') AS free FROM b)
+  CAST(round_even(list_min(v), 0) AS INT) AS lo_e, CAST(round_even(list_max(v), 0) AS INT) AS hi_e FROM b)
 SELECT event_id,
-  CASE WHEN r IS NULL THEN NULL WHEN sold THEN 'sold-out' WHEN free THEN 'free' WHEN n > 0 THEN {RANGE.format(lo='lo_f', hi='hi_f')} END AS sold_free_amount,
-  CASE WHEN r IS NULL THEN NULL WHEN free THEN 'free' WHEN sold THEN 'sold-out' WHEN n > 0 THEN {RANGE.format(lo='lo_e', hi='hi_e')} END AS free_sold_amount,
+  CASE WHEN r IS NULL THEN NULL WHEN {marked(P.SOLD_OUT, 'sold_free_amount')} THEN 'sold-out' WHEN {marked(P.FREE, 'sold_free_amount')} THEN 'free'
+       WHEN n > 0 THEN {RANGE.format(lo='lo_f', hi='hi_f')} END AS sold_free_amount,
+  CASE WHEN r IS NULL THEN NULL WHEN {marked(P.FREE, 'free_sold_amount')} THEN 'free' WHEN {marked(P.SOLD_OUT, 'free_sold_amount')} THEN 'sold-out'
+       WHEN n > 0 THEN {RANGE.format(lo='lo_e', hi='hi_e')} END AS free_sold_amount,
   CASE WHEN r IS NULL OR regexp_matches(r, '(a|per)\\s+determinar|tbd') THEN NULL
        WHEN n > 0 AND regexp_matches(r, '\\bde\\b.*\\ba\\b') THEN {RANGE.format(lo='lo_f', hi='hi_f')}
-       WHEN n > 0 THEN hi_f || '€' WHEN sold THEN 'sold-out' WHEN free THEN 'free' END AS amount_sold_free,
-  CASE WHEN r IS NULL THEN NULL WHEN sold THEN 'sold-out' WHEN n > 0 THEN {RANGE.format(lo='lo_e', hi='hi_e')} WHEN free THEN 'free' END AS sold_amount_free,
-  CASE WHEN r IS NULL THEN NULL WHEN regexp_matches(r, 'inclòs|preu de l''entrada') THEN 'free' WHEN n > 0 THEN hi_f || '€' WHEN free THEN 'free' END AS bundled_amount_free
+       WHEN n > 0 THEN hi_f || '€' WHEN {marked(P.SOLD_OUT, 'amount_sold_free')} THEN 'sold-out' WHEN {marked(P.FREE, 'amount_sold_free')} THEN 'free' END AS amount_sold_free,
+  CASE WHEN r IS NULL THEN NULL WHEN {marked(P.SOLD_OUT, 'sold_amount_free')} THEN 'sold-out' WHEN n > 0 THEN {RANGE.format(lo='lo_e', hi='hi_e')}
+       WHEN {marked(P.FREE, 'sold_amount_free')} THEN 'free' END AS sold_amount_free,
+  CASE WHEN r IS NULL THEN NULL WHEN regexp_matches(r, 'inclòs|preu de l''entrada') THEN 'free' WHEN n > 0 THEN hi_f || '€'
+       WHEN {marked(P.FREE, 'bundled_amount_free')} THEN 'free' END AS bundled_amount_free
 FROM c""")
 def normalize_price(t: Tables) -> DataFrame:
     return t.price_text.select("event_id", *[P.normalize_price("raw", p).alias(p) for p in P.POLICIES])

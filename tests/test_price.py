@@ -9,6 +9,16 @@ def test_range_only_for_a_wide_spread(spark):
     assert got == cases
 
 
+def test_each_policy_has_its_own_words(evaluate):
+    texts = ["exhaurit", "esgotades", "s.o.", "free entry", "accés lliure", "entrada lliure", "gratis"]
+    got = {p: evaluate(lambda c, p=p: P.normalize_price(c, p), texts) for p in P.POLICIES}
+    assert got == {
+        "sold_free_amount": ["sold-out", None, None, None, None, None, None], "free_sold_amount": [None] * 7,
+        "amount_sold_free": ["sold-out", "sold-out", "sold-out", "free", "free", None, None],
+        "sold_amount_free": [None, None, "sold-out", "free", None, "free", None], "bundled_amount_free": [None] * 7,
+    }
+
+
 @pytest.mark.parametrize(
     "policy, cases",
     [
