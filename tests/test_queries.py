@@ -14,6 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "day_agenda", "film_day", "agenda_as_of", "list_summary", "upsert_events", "validate_batch", "normalize_price", "parse_date_phrase",
     "split_title", "row_index_in_day", "schedule_segments", "extract_jsonld_events", "session_production_join", "slot_join", "duplicate_ids",
+    "sink_events", "extract_nested_blocks", "scan_changing_feed", "json_event_fields", "merge_dims", "cascade_delete", "balance_columns",
 ]
 
 
