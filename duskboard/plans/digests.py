@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from duskboard.schemas import ENTITIES
 
-_SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in ENTITIES.items()}
+#: Column and type of every entity, from the declared schemas, without a session.
+_FIELDS = {name: [tuple(field.split(" ")) for field in ddl.split(", ")] for name, ddl in ENTITIES.items()}
 
 
-def _known(entity: str, have: set[str]) -> list[T.StructField]:
-    return [f for f in _SCHEMAS[entity].fields if f.name in have]
+def _known(entity: str, without: set[str]) -> list[tuple[str, bool]]:
+    """Columns and whether they are arrays."""
+    return [(name, kind.startswith("array")) for name, kind in _FIELDS[entity] if name not in without]
 
 
 def row_digest(df: DataFrame, entity: str) -> Column:
     """Digest of the entity's columns that the table has."""
     texts = []
-    for f in _known(entity, set(df.columns)):
-        text = F.array_join(f.name, ",") if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast("string")
+    for name, is_array in _known(entity, {n for n, _ in _FIELDS[entity]} - set(df.columns)):
+        text = F.array_join(name, ",") if is_array else F.col(name).cast("string")
         texts.append(F.coalesce(text, F.lit("~")))
     return F.md5(F.concat_ws("|", *texts).cast("binary"))
 
 
 def sql_digest(entity: str, without: tuple[str, ...] = ()) -> str:
     texts = []
-    for f in _known(entity, set(_SCHEMAS[entity].names) - set(without)):
-        text = f"array_to_string({f.name}, ',')" if isinstance(f.dataType, T.ArrayType) else f"CAST({f.name} AS VARCHAR)"
+    for name, is_array in _known(entity, set(without)):
+        text = f"array_to_string({name}, ',')" if is_array else f"CAST({name} AS VARCHAR)"
         texts.append(f"coalesce({text}, '~')")
     return f"md5(concat_ws('|', {', '.join(texts)}))"
 
