@@ -78,7 +78,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
 
     A null or empty text is the end id 0 alone. Null ids come first; equal ids stay beside each other in the
     order of a hash of their texts; repeated rows are written as often as they come. Other columns are ignored.
-    An empty table gives an empty manifest.
+    An empty table gives an empty manifest. Ids that many rows have, null too, are cut between shards by the hash of the
+    text; only rows that are equal in both stay together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
     place, root = _place(folder)
     place.create_dir(root, recursive=True)
     rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
