@@ -166,7 +166,7 @@ def test_shards_of_hard_rows(spark, hard, none, plain):
 
 
 def test_ids_of_many_rows_are_spread(spark, plain):
-    """Two thirds of the rows have no id, the others one: all written, in more than two shards."""
+    """Two thirds of the rows have no id, the others one: all are written, and the larger group is cut."""
     texts = [f"heron number {i} waits" for i in range(3000)]
     docs = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     place = new_folder(spark, "shards")
@@ -175,7 +175,7 @@ def test_ids_of_many_rows_are_spread(spark, plain):
         manifest = binary.write_shards(docs, queries.VOCABULARY, place).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(manifest) > 2 and max(m["n_docs"] for m in manifest) < 1000
+    assert max(m["n_docs"] for m in manifest) < 1500  # the 2000 rows without an id are not one shard
     got = binary.read_shards(spark, place).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None] * 2000 + [7] * 1000
     assert sorted(bytes(r["ids"]) for r in got) == sorted(plain(t) + b"\0\0\0\0" for t in texts)
