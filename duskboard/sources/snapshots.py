@@ -1,7 +1,7 @@
 """Events in versions: a version is replaced as a whole, by one rename.
 
-Below the store's folder, ``data/write=<id>`` holds the rows of one write by venue and never changes; a version is a
-small table ``versions/<number>`` that names, for every venue, the write its rows are in. It is written under another
+Below the store's folder, ``data/write=<id>`` holds the rows of one write in a fixed number of folders, sorted by venue,
+and never changes; a version is a small table ``versions/<number>`` that names, for every venue, the write its rows are in. It is written under another
 name and renamed when it is complete. A rename never replaces, so of two writers that began from one version the
 second fails, and a write that is killed before the rename has changed nothing but left files no version names. The
 highest number is the current version. A reader stays with the version it was opened at; older ones are kept until
@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskboard.operators.keys import bucket
+
 VENUE = "venue_slug"
+#: Folders of a write, each with the venues of one hash: as many for a thousand venues as for a million.
+FOLDER, FOLDERS = "_folder", 16
 _MEMBERS = T.StructType([T.StructField(VENUE, T.StringType()), T.StructField("write", T.StringType())])
 
 
@@ -69,8 +73,8 @@ def write_events(df: DataFrame, path: str, venues: DataFrame | None = None, base
     others are left out. ``base`` is the version the rows were made from, the current one by default; if there is a newer
     one by the time of the rename, the write fails. A null venue is a venue of its own.
 
-    The rebalance hint groups rows by venue and lets adaptive execution split a venue that is too large for one task and
-    merge those that are small.
+    The rebalance hint groups rows by folder and lets adaptive execution split a folder that is too large for one task
+    and merge those that are small.
     """
     spark = df.sparkSession
     if base is None:
@@ -79,9 +83,10 @@ def write_events(df: DataFrame, path: str, venues: DataFrame | None = None, base
     rows = df if venues is None else df.join(venues.select(F.col(VENUE).alias("_v")).distinct(), F.col(VENUE).eqNullSafe(F.col("_v")), "left_semi")
     folder = f"{path}/data/write={write}"
     inner = ["start_date"] if "start_date" in df.columns else []
-    rows.hint("rebalance", VENUE).sortWithinPartitions(VENUE, *inner).write.partitionBy(VENUE).parquet(folder)
+    placed = rows.withColumn(FOLDER, bucket(VENUE, FOLDERS)).hint("rebalance", FOLDER)
+    placed.sortWithinPartitions(FOLDER, VENUE, *inner).write.partitionBy(FOLDER).parquet(folder)
     written = spark.read.schema(_MEMBERS).option("basePath", f"{path}/data").parquet(folder) if _has_rows(spark, folder) else None
-    mine = spark.createDataFrame([], _MEMBERS) if written is None else written.select(VENUE, "write").distinct()  # folder names only
+    mine = spark.createDataFrame([], _MEMBERS) if written is None else written.select(VENUE, "write").distinct()  # one column of the rows
     replaced = mine.select(VENUE) if venues is None else venues.select(VENUE).distinct()
     if base:
         old = _members(spark, path, base).alias("o")
@@ -92,13 +97,13 @@ def write_events(df: DataFrame, path: str, venues: DataFrame | None = None, base
 
 
 def _has_rows(spark: SparkSession, folder: str) -> bool:
-    return any(name.startswith(f"{VENUE}=") for name in _names(spark, folder))
+    return any(name.startswith(f"{FOLDER}=") for name in _names(spark, folder))
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType, version: int | None = None) -> DataFrame:
     """The rows of a version, the current one by default, in the columns of ``schema``. Later writes do not show.
 
-    Only folders that the version names are listed, and only the venues it takes from each are read.
+    Only writes that the version names are listed, and only the venues it takes from each are kept.
     """
     known = versions(spark, path)
     if version is None and not known:

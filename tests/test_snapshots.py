@@ -97,3 +97,11 @@ def test_null_venues_and_cleaning(spark, path):
     assert len(list((Path(path) / "data").glob("write=*"))) == 1
     with pytest.raises(ValueError):
         S.forget_before(spark, path, 99)
+
+
+def test_folders_do_not_grow_with_the_venues(spark, path):
+    many = events(spark, *((i, f"v{i}", 1) for i in range(120)))
+    S.write_events(many, path)
+    S.write_events(events(spark, (5, "v5", 2)), path)
+    assert all(len(list(w.glob("*="))) + len(list(w.glob("*=*"))) <= S.FOLDERS for w in (Path(path) / "data").glob("write=*"))
+    assert told(S.read_events(spark, path, many.schema)) == sorted((i, f"v{i}", 2 if i == 5 else 1) for i in range(120))
