@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duskboard.functions.dates import parse_time_any
 from duskboard.functions.text import clean_text, let, strip_html
+from duskboard.operators.joins import broadcast_if_small
 from duskboard.operators.sequences import forward_fill
 
 #: Patterns tried in order per field; the first non-empty hit wins. Group 1 is the value.
@@ -192,23 +193,60 @@ def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(*keys, strip_html(html).alias("text"))
 
 
+def line_pieces(pages: DataFrame, words: str = "words", doc: str = "doc_id", band: int = 20) -> DataFrame:
+    """Pages that hold their words (``left_px, top_px, word``) in one array to pieces of lines:
+    ``line_no`` and ``words``, the line's words in order.
+
+    The array is sorted by line and cut where the line changes, so a page stays in its row until it is lines.
+    """
+
+    def cut(ws: Column) -> Column:
+        places = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ws, i)["line_no"] != F.get(ws, i - 1)["line_no"]))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(ws, i)["line_no"].alias("line_no"),
+            F.transform(F.slice(ws, i + 1, F.coalesce(F.get(at, k + 1), F.size(ws)) - i),
+                        lambda w: F.struct(w["left_px"].alias("left_px"), w["word"].alias("word"))).alias("words"))))
+
+    placed = F.transform(words, lambda w: F.struct(
+        F.floor(w["top_px"] / band).alias("line_no"), w["left_px"].alias("left_px"), w["word"].alias("word")))
+    return pages.select(doc, F.inline(let(F.sort_array(placed), cut)))
+
+
+def _side(words: str, is_right: bool, split_px: int) -> Column:
+    wanted = F.filter(words, lambda w: (w["left_px"] >= split_px) == F.lit(is_right))
+    return F.array_join(F.transform(wanted, lambda w: w["word"]), " ")
+
+
+def _texts(lines: DataFrame, doc: str, words: str, split_px: int) -> DataFrame:
+    return lines.select(doc, "line_no", _side(words, False, split_px).alias("left_text"), _side(words, True, split_px).alias("right_text"))
+
+
 def reconstruct_lines(
     words: DataFrame, doc: str = "doc_id", band: int = 20, split_px: int = 400
 ) -> DataFrame:
     """Positioned words to lines: per band of pixels, the left and the right column's text.
 
-    A band is one printed line, so what is gathered is bounded by the width of a page.
+    A band is one printed line, so what is gathered is bounded by the width of a page. Pages that hold their words in an
+    array need no shuffle of them: see :func:`page_lines`.
     """
+    row = F.struct("left_px", "word")
+    lines = words.groupBy(doc, F.floor(F.col("top_px") / band).alias("line_no")).agg(F.array_sort(F.collect_list(row)).alias("_words"))
+    return _texts(lines, doc, "_words", split_px)
 
-    def side(is_right: bool) -> Column:
-        wanted = F.when((F.col("left_px") >= split_px) == F.lit(is_right), F.struct("left_px", "word"))
-        ordered = F.array_sort(F.collect_list(wanted))
-        return F.array_join(F.transform(ordered, lambda w: w["word"]), " ")
 
-    return (
-        words.groupBy(doc, F.floor(F.col("top_px") / band).alias("line_no"))
-        .agg(side(False).alias("left_text"), side(True).alias("right_text"))
-    )
+def page_lines(pages: DataFrame, words: str = "words", doc: str = "doc_id", band: int = 20, split_px: int = 400) -> DataFrame:
+    """The lines of :func:`reconstruct_lines` for pages that hold their words in one array.
+
+    Lines of a page of one row are made where it is read. Only pages of several rows, found by counts of their ids, are
+    gathered line by line from the rows' pieces.
+    """
+    repeated = pages.groupBy(F.col(doc).alias("_doc")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_doc")
+    repeated, same = broadcast_if_small(repeated), F.col(doc).eqNullSafe(F.col("_doc"))
+    whole = line_pieces(pages.join(repeated, same, "left_anti"), words, doc, band)
+    pieces = line_pieces(pages.join(repeated, same, "left_semi"), words, doc, band)
+    merged = pieces.groupBy(doc, "line_no").agg(F.array_sort(F.flatten(F.collect_list("words"))).alias("words"))
+    return _texts(whole.unionByName(merged), doc, "words", split_px)
 
 
 DATE_LINE = r"^([0-9]{1,2})/([0-9]{1,2})"

@@ -169,3 +169,17 @@ def test_a_store_stays_cheap_to_read(spark, tmp_path, monkeypatch):
     assert told[f"v{(last - 2) % 3}", "A"] == (["folk", "jazz"], [("en", "N"), ("es", f"E{last - 2}")])
     assert written_versions(spark, f"{base}/store") == list(range(last + 1))
     assert {f.split("version=")[1].split("/")[0] for f in got.inputFiles()} == {"3", "4"}
+
+
+def test_lines_of_whole_pages_are_those_of_their_words(spark):
+    """Pages in one row, in several, without an id, without words; the words of whole pages are not shuffled."""
+    word = lambda x, y, w: {"left_px": x, "top_px": y, "word": w}
+    data = [(1, [word(400, 3, "r"), word(80, 19, "b"), word(0, 0, "a"), word(0, 45, "c c")]), (2, [word(80, 0, "y")]), (2, [word(0, 5, "x"), word(480, 5, "z")]),
+            (None, [word(0, 0, "n")]), (None, [word(80, 0, "m")]), (3, []), (4, None)]
+    pages = spark.createDataFrame(data, "doc_id long, words array<struct<left_px: long, top_px: long, word: string>>")
+    told = lambda df: sorted((r.doc_id or 0, r.line_no, r.left_text, r.right_text) for r in df.collect())
+    got = told(X.page_lines(pages))
+    assert got == [(0, 0, "n m", ""), (1, 0, "a b", "r"), (1, 2, "c c", ""), (2, 0, "x y", "z")]
+    assert got == told(X.reconstruct_lines(pages.select("doc_id", X.F.inline("words"))))
+    plan = X.page_lines(pages.filter("doc_id = 1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
