@@ -75,12 +75,21 @@ def references(count: int = REFERENCES) -> list[int]:
     return [sum((bin(r & i).count("1") & 1) << i for i in range(64)) for r in range(1, count + 1)]
 
 
-def pivot_table(prints: DataFrame, count: int = REFERENCES) -> DataFrame:
-    """``prints`` (fp) with the distances to ``count`` references, eight to a long: columns d0, d1, ..."""
-    distance = lambda r: F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(r)))).cast("bigint")
+def _pivots(fp: Column, count: int = REFERENCES) -> list[tuple[str, Column]]:
+    distance = lambda r: F.bit_count(fp.bitwiseXOR(F.lit(signed(r)))).cast("bigint")
     groups = [references(count)[i : i + 8] for i in range(0, count, 8)]
     packed = [sum((F.shiftleft(distance(r), 8 * k) for k, r in enumerate(own)), F.lit(0).cast("bigint")) for own in groups]
-    return prints.select("fp", *(c.alias(f"d{g}") for g, c in enumerate(packed)))
+    return [(f"d{g}", c) for g, c in enumerate(packed)]
+
+
+def pivot_table(prints: DataFrame, count: int = REFERENCES) -> DataFrame:
+    """``prints`` (fp) with the distances to ``count`` references, eight to a long: columns d0, d1, ..."""
+    return prints.select("fp", *(c.alias(n) for n, c in _pivots(F.col("fp"), count)))
+
+
+def _beside(fp: str, out: str) -> Column:
+    """The row that :func:`pivot_table` has for a column of fingerprints."""
+    return F.struct(F.col(fp).alias("fp"), *(c.alias(n) for n, c in _pivots(F.col(fp)))).alias(out)
 
 
 def _close(a: str, b: str, columns: list[str]) -> Column:
@@ -129,10 +138,15 @@ def link_prints(prints: DataFrame, blocks: int | None = None, large: int = LARGE
     found = keys.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
     members = stored(keys.join(found, bucket), "members")
 
+    # Distances are a function of the fingerprint: computed beside it, they need no join.
     stars = members.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
-    sides = stars.join(table.select(F.col("fp").alias("a"), F.struct("*").alias("x")), "a")
-    sides = sides.join(table.select(F.col("fp").alias("b"), F.struct("*").alias("y")), "b")
-    links = stored(sides.filter(_close("x", "y", columns)).select("a", "b"), "links")
+    sides = stars.select("a", "b", _beside("a", "x"), _beside("b", "y"))
+    close = sides.filter(_close("x", "y", columns)).select("a", "b")
+    # A fingerprint may be linked to the smallest ones of many buckets. These are linked to the smallest of them instead,
+    # which many fingerprints say alike, so a crowd has about one link a member. Their number is that of the choices at most.
+    held = close.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("bs")).select("a", "bs", F.get("bs", 0).alias("low"))
+    ends = F.concat(F.array("a"), F.slice("bs", F.lit(2), F.greatest(F.size("bs") - 1, F.lit(0))))
+    links = stored(held.select(F.explode(ends).alias("a"), F.col("low").alias("b")).distinct(), "links")
     roots = components(links)
 
     # What these links leave apart can only be linked within a bucket that holds several components.

@@ -106,3 +106,14 @@ def test_hard_rows(hard, none):
     assert sorted((r["doc_id"], r["fp"] % (1 << 64)) for r in got) == sorted((d, counted(t)) for d, t in kept)
     assert {r["component_id"] for r in got if r["fp"] == 0} == {3}
     assert simhash.link_documents(none).count() == 0
+
+
+def test_a_crowd_has_about_one_link_a_member(spark, monkeypatch):
+    rng = random.Random(9)
+    crowd = {sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(600)}
+    seen = []
+    follow = simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: seen.append(links.count()) or follow(links))
+    found = simhash.link_prints(spark.createDataFrame([(simhash.signed(p),) for p in crowd], "fp long")).collect()
+    assert len({r["root"] for r in found}) == 1 and len(found) == len(crowd)
+    assert seen[0] <= 1.2 * len(crowd)
