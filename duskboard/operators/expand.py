@@ -62,6 +62,14 @@ def with_fallback(sessions: DataFrame, parents: DataFrame, key: str) -> DataFram
     return sessions.unionByName(missing, allowMissingColumns=True)
 
 
+def join_with_fallback(parents: DataFrame, sessions: DataFrame, on: Column, has: str, session: Sequence[Column], alone: Sequence[Column]) -> DataFrame:
+    """:func:`with_fallback` for sessions that are found by joining their parents: the columns ``session`` of every pair,
+    and ``alone`` of every parent without one, from a single join. ``has`` is a column of the sessions that ``on`` compares,
+    so it is null where there is none."""
+    joined = parents.join(sessions, on, "left")
+    return joined.select(*[F.when(F.col(has).isNotNull(), s).otherwise(a).alias(n) for s, a, n in zip(session, alone, joined.select(*alone).columns, strict=True)])
+
+
 def week_starts(df: DataFrame, date: str, weeks: int, out: str = "week_start") -> DataFrame:
     """The Mondays of the row's week and the following ones."""
     monday = F.trunc(F.col(date), "week")

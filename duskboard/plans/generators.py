@@ -57,10 +57,11 @@ def explode_sessions(t: Tables) -> DataFrame:
 SELECT o_orderkey, CAST(l_shipdate AS DATE) AS session_date, 'session' AS kind FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 UNION ALL SELECT o_orderkey, CAST(o_orderdate AS DATE), 'range' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def range_fallback(t: Tables) -> DataFrame:
-    sessions = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "o_orderkey", F.col("l_shipdate").cast("date").alias("session_date"), F.lit("session").alias("kind"))
-    shows = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("session_date"), F.lit("range").alias("kind"))
-    return E.with_fallback(sessions, shows, "o_orderkey")
+    key = F.col("o_orderkey")
+    return E.join_with_fallback(
+        t.orders, t.lineitem, F.col("l_orderkey") == key, "l_orderkey",
+        session=[key, F.col("l_shipdate").cast("date"), F.lit("session")],
+        alone=[key, F.col("o_orderdate").cast("date").alias("session_date"), F.lit("range").alias("kind")])
 
 
 @query("week_starts", """

@@ -44,3 +44,14 @@ def test_sides_are_measured_in_bytes(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
     assert hinted(J.broadcast_if_small(few)) and not hinted(J.broadcast_if_small(few, max_bytes=4000))
     assert hinted(J.broadcast_if_small(few.limit(0), max_bytes=0))
+
+
+def test_sessions_and_parents_without_any_from_one_join(spark):
+    from pyspark.sql import functions as F
+
+    from duskboard.operators import expand as E
+    parents = spark.createDataFrame([(1, "p1"), (2, "p2"), (2, "p2b"), (None, "p")], "k long, t string")
+    sessions = spark.createDataFrame([(1, "a"), (1, "b"), (9, "c"), (None, "d")], "s long, u string")
+    out = E.join_with_fallback(parents, sessions, F.col("s") == F.col("k"), "s", [F.col("k"), F.col("u")], [F.col("k"), F.col("t").alias("t")])
+    assert sorted((r.k or 0, r.t) for r in out.collect()) == [(0, "p"), (1, "a"), (1, "b"), (2, "p2"), (2, "p2b")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
