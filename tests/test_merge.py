@@ -1,4 +1,7 @@
 import datetime as dt
+import inspect
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +204,43 @@ def test_children_follow_the_matched_event(spark):
                            dict(title="C", source_url="c", category_slugs=None, translations=None)])
     assert kids(M.upsert(batch, whole, NOW)) == {
         "A2": (["jazz"], [("es", "y")]), "B": (["folk", "jazz"], [("fr", "b")]), "C": ([], [])}
+
+
+def test_a_new_row_meets_its_id_in_the_store(spark):
+    """The id a new row is hashed to may be stored: the event stays as it is, or as another row of the batch writes it."""
+    row = dict(title="A", source_url="u")
+    first = M.upsert(staged(spark, [row]), store(spark), NOW, "1").drop("change").collect()
+    other = M.upsert(staged(spark, [row]), store(spark), NOW, "2").first().event_id
+    schema = store(spark).schema
+    moved = spark.createDataFrame([{**first[0].asDict(), "title": "B", "source_url": "w"}], schema)
+    got = lambda df: sorted((r.change, r.title, r.source_url, r.event_id == first[0].event_id) for r in df.collect())
+    out = M.upsert(staged(spark, [row]), moved, NOW, "1")
+    assert got(out) == [("inserted", "A", "u", False), ("kept", "B", "w", True)]
+    assert out.filter("change = 'inserted'").first().event_id not in (other, first[0].event_id)
+    both = M.upsert(staged(spark, [row, dict(title="B2", source_url="w")]), moved, NOW, "1")
+    assert got(both) == [("inserted", "A", "u", False), ("updated", "B2", "w", True)]
+
+
+def test_rows_are_shuffled_by_keys_and_id_only(spark):
+    """Rows of the batch move to their first key, those without an id to their second, and all to the event's id, which is no
+    null; the store moves by id. Venues are sent to all tasks when they are known to be few."""
+    cur = store(spark, [dict(title="A", external_id="1", source_url="a"), dict(title="B", source_url="b", venue_slug="w")])
+    batch = staged(spark, [dict(title="A2", external_id="1", source_url="a"), dict(title="N", source_url="n")])
+    path = f"/tmp/test-merge-{uuid.uuid4().hex}"
+    cur.write.parquet(f"{path}/current")
+    batch.write.parquet(f"{path}/batch")
+    cur, batch = spark.read.parquet(f"{path}/current"), spark.read.parquet(f"{path}/batch")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        venues = spark.createDataFrame([("v",), ("w",)], "slug string")
+        out = M.upsert(batch, cur, NOW, **({"venues": venues} if "venues" in inspect.signature(M.upsert).parameters else {}))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert result(out) == [("inserted", "N", None, "n", D0, None), ("kept", "B", None, "b", D0, 2), ("updated", "A2", "1", "a", D0, 1)]
+    by = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*), 3\)", plan)]
+    assert not [x for x in by if x in ("venue_slug", "_key", "_minted")], by
+    # Four by two keys each beside the stored keys' three, two by id; the distinct venues of the batch are no rows of it.
+    assert len([x for x in by if x != "_venue"]) <= 8, by
