@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskboard.session import stored
+
 #: Bytes up to which a side is sent to every task.
 BROADCAST_BYTES = 32 << 20
+#: Ids a row may hold to be resolved one position after the other.
+CHAINED = 8
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -164,16 +168,74 @@ def enrich(
 
 
 def resolve_ids(
-    df: DataFrame, key: str, ids: str, dim: DataFrame, dim_id: str, dim_title: str, out: str, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, key: str, ids: str, dim: DataFrame, dim_id: str, dim_title: str, out: str, max_bytes: int = BROADCAST_BYTES,
+    longest: int | None = None,
 ) -> DataFrame:
     """Array of ids to the array of their titles, in order; unknown and null ids are left out, a row without any gets an
     empty array.
 
-    Only key, position and id are exploded. The other columns stay in one row per key, and both meet in one shuffle by
-    the hashes of ``key``, which is unique per row; what is gathered is one row's own array. Titles go to all tasks if they are few bytes, else by :func:`spread_join`: an id that stands in
-    every row is no hot key.
+    ``longest`` is the most ids of a row, counted if not given. Up to ``CHAINED`` they are looked up one position after the
+    other and rows stay whole. Titles go to all tasks if they are few bytes, and no row is shuffled. Else those of the
+    most frequent ids do (:func:`frequent_ids`), and the rows are shuffled once for each position that holds other ids.
+    Longer arrays are exploded; their rows meet again by ``key``, which must be unique.
+    """
+    names = dim.select(F.col(dim_id).alias("_id"), F.col(dim_title).alias("_title")).filter(F.col("_id").isNotNull() & F.col("_title").isNotNull())
+    if longest is None:
+        longest = df.agg(F.max(F.size(ids)).alias("n")).first()["n"] or 0
+    if longest > CHAINED:
+        return _resolve_exploded(df, key, ids, names, out, max_bytes)
+    rest = [c for c in df.columns if c != ids]
+    none = F.array().cast(T.ArrayType(names.schema["_title"].dataType))
+    titles = names.groupBy("_id").agg(F.array_sort(F.collect_list("_title")).alias("_titles"))
+    sent, others = broadcast_if_small(titles, bounded_by=names, max_bytes=max_bytes), set()
+    if sent is titles:
+        often, others = frequent_ids(df, ids, names, max_bytes)
+        sent = F.broadcast(often.join(titles, "_id", "left").withColumn("_titles", F.coalesce("_titles", none)))
+    found = df
+    for i in range(longest):
+        at = f"_titles{i}"
+        near = sent.select(F.col("_id").alias("_k"), F.col("_titles").alias(at))
+        found = found.join(near, F.get(ids, F.lit(i)) == F.col("_k"), "left").drop("_k")
+        if i in others:
+            # A row without an id to look up here goes anywhere.
+            wanted = F.when(F.col(at).isNull(), F.get(ids, F.lit(i)))
+            anywhere = F.when(wanted.isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long"))
+            far = titles.select(F.struct(F.col("_id").alias("id"), F.lit(0).cast("long").alias("at")).alias("_k"), F.col("_titles").alias("_far"))
+            found = found.withColumn("_w", F.struct(wanted.alias("id"), anywhere.alias("at"))).join(far, F.col("_w") == F.col("_k"), "left")
+            found = found.withColumn(at, F.coalesce(at, "_far")).drop("_w", "_k", "_far")
+    joined = F.flatten(F.array(*[F.coalesce(f"_titles{i}", none) for i in range(longest)])) if longest > 0 else none
+    checked = F.when(F.size(ids) > longest, F.raise_error(F.lit(f"more than {longest} ids in a row"))).otherwise(joined)
+    return found.select(*rest, checked.alias(out))
+
+
+def frequent_ids(df: DataFrame, ids: str, names: DataFrame, max_bytes: int) -> tuple[DataFrame, set[int]]:
+    """The most frequent ids, as many as have titles of ``max_bytes``, and the positions in which other ids stand.
+
+    An id that would fill a quarter of a partition or more at its position is among them in any case, known or not: there
+    are at most four a partition and position. The counts are written down; only their sums by power of two are collected.
     """
-    names = dim.select(F.col(dim_id).alias("_id"), F.col(dim_title).alias("_title")).filter(F.col("_title").isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = df.select(F.posexplode(ids).alias("_pos", "_id")).filter(F.col("_id").isNotNull())
+    counts = stored(flat.groupBy("_pos", "_id").agg(F.count("*").alias("_n")), "id-counts")
+    power = F.floor(F.log2("_n")).cast("int")
+    sums = counts.groupBy("_pos", power.alias("p")).agg(F.count("*").alias("ids"), F.sum("_n").alias("rows")).collect()
+    size = names.agg(F.sum(row_bytes(names)).alias("bytes"), F.count("*").alias("n")).first()
+    room, least = max_bytes * size["n"] // max(size["bytes"] or 0, 1), 64
+    for p in sorted({r.p for r in sums}, reverse=True):
+        room -= sum(r.ids for r in sums if r.p == p)
+        if room < 0:
+            break
+        least = p
+    rows = max((sum(r.rows for r in sums if r._pos == pos) for pos in {r._pos for r in sums}), default=0)
+    often = (power >= least) | (F.col("_n") * (4 * parts) > F.lit(rows))
+    others = {r[0] for r in counts.filter(~often).select("_pos").distinct().collect()}
+    return counts.filter(often).select("_id").distinct(), others
+
+
+def _resolve_exploded(df: DataFrame, key: str, ids: str, names: DataFrame, out: str, max_bytes: int) -> DataFrame:
+    """Only key, position and id are exploded. The other columns stay in one row per key, and both meet in one shuffle by
+    the hashes of ``key``; what is gathered is one row's own array. Titles go to all tasks if they are few bytes, else by
+    :func:`spread_join`: an id that stands in every row is no hot key."""
     both = ["_h1", "_h2"]  # of the key, which may be wide
     hashed = df.withColumns({"_h1": F.xxhash64(key), "_h2": F.xxhash64(F.lit(1), key)})
     flat = hashed.select(*both, F.posexplode(ids).alias("_pos", "_id")).filter(F.col("_id").isNotNull())

@@ -70,7 +70,7 @@ def session_production_join(t: Tables) -> DataFrame:
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("k"),
         F.col("o_orderstatus").alias("status"),
         F.array("l_partkey", "l_suppkey", F.lit(-1).cast("long"), F.col("l_linenumber").cast("long")).alias("ids"))
-    out = J.resolve_ids(sessions, "k", "ids", t.part, "p_partkey", "p_name", "titles")
+    out = J.resolve_ids(sessions, "k", "ids", t.part, "p_partkey", "p_name", "titles", longest=4)
     return out.select(F.col("k.l_orderkey").alias("session_order"), F.col("k.l_linenumber").alias("session_no"),
                       "status", F.array_join("titles", "|").alias("titles"))
 

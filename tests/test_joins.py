@@ -55,3 +55,27 @@ def test_sessions_and_parents_without_any_from_one_join(spark):
     out = E.join_with_fallback(parents, sessions, F.col("s") == F.col("k"), "s", [F.col("k"), F.col("u")], [F.col("k"), F.col("t").alias("t")])
     assert sorted((r.k or 0, r.t) for r in out.collect()) == [(0, "p"), (1, "a"), (1, "b"), (2, "p2"), (2, "p2b")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+@pytest.mark.parametrize("limit", [0, 200, J.BROADCAST_BYTES])
+def test_rows_of_one_key_stay_apart_and_whole(spark, limit):
+    """Few titles: no row is shuffled. Many: frequent ids, an unknown one too, are sent, and rows move for the others only."""
+    rnd = random.Random(5)
+    data = [(i // 2, i, [rnd.randrange(60) + 10, i % 3, 999, None][: 4 - i % 2]) for i in range(400)] + [(1, 400, None), (1, 401, [])]
+    df = spark.createDataFrame(data, "k long, other long, ids array<long>")
+    dim = spark.createDataFrame([(i, f"t{i}") for i in range(60)] + [(2, "again"), (None, "t")], "id long, title string")
+    names = {i: [f"t{i}"] for i in range(60)} | {2: ["again", "t2"]}
+    want = sorted((k, o, [t for i in ids or [] for t in names.get(i, [])]) for k, o, ids in data)
+    out = J.resolve_ids(df, "k", "ids", dim, "id", "title", "titles", limit)
+    assert rows(out) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter, ((_w") == 0 and plan.count("Join LeftOuter, (_w") == (0 if limit == J.BROADCAST_BYTES else 1), plan
+
+
+def test_more_ids_than_said_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3])], "k long, ids array<long>")
+    dim = spark.createDataFrame([(1, "a")], "id long, title string")
+    with pytest.raises(Exception, match="more than 2 ids"):
+        J.resolve_ids(df, "k", "ids", dim, "id", "title", "titles", longest=2).collect()
+    long = spark.createDataFrame([(1, [1] * 20), (2, [3, 1] * 9)], "k long, ids array<long>")
+    assert rows(J.resolve_ids(long, "k", "ids", dim, "id", "title", "titles")) == [(1, ["a"] * 20), (2, ["a"] * 9)]
