@@ -116,6 +116,13 @@ def masks(blocks: int) -> list[int]:
     return [sum(some) for some in itertools.combinations(block, blocks - MOST)]
 
 
+def _unsent(side: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, as the other is, whatever size Spark takes it for: an explode counts as one row
+    for each it is given, not as the dozens or the 2,081 it makes, and columns that repeat take few bytes in a file. By such
+    a size a side that fills the driver would be broadcast."""
+    return side.hint("merge")
+
+
 def _midpoint_links(prints: DataFrame) -> DataFrame:
     """(a, b): every fingerprint with the smallest one of each midpoint at most two bits from both."""
     bit = lambda c: F.when(F.col(c) < 0, F.lit(0).cast("bigint")).otherwise(F.expr(f"shiftleft(1L, {c})"))
@@ -124,7 +131,7 @@ def _midpoint_links(prints: DataFrame) -> DataFrame:
     near = first.select("fp", "i", F.explode(F.sequence(from_j, F.lit(63))).alias("j"))
     near = near.select("fp", F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(bit("j")).alias("midpoint"))
     lowest = near.groupBy("midpoint").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
-    return near.join(lowest.select("midpoint", "low"), "midpoint").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    return _unsent(near).join(lowest.select("midpoint", "low"), "midpoint").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def link_prints(prints: DataFrame, blocks: int | None = None, large: int = LARGE) -> DataFrame:
@@ -136,7 +143,7 @@ def link_prints(prints: DataFrame, blocks: int | None = None, large: int = LARGE
     bucket = ["choice", "key"]
     keys = table.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in choices))).alias(*bucket))
     found = keys.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
-    members = stored(keys.join(found, bucket), "members")
+    members = stored(_unsent(keys).join(found, bucket), "members")
 
     # Distances are a function of the fingerprint: computed beside it, they need no join.
     stars = members.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
@@ -153,11 +160,11 @@ def link_prints(prints: DataFrame, blocks: int | None = None, large: int = LARGE
     placed = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket)
-    rest = stored(placed.join(mixed, bucket, "left_semi").join(table, "fp"), "rest")
+    rest = stored(_unsent(_unsent(placed).join(mixed, bucket, "left_semi")).join(table, "fp"), "rest")
     small = rest.filter(F.col("n") <= large)
     x, y = small.alias("x"), small.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in bucket]
-    pairs = x.join(y, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.root") != F.col("y.root"), _close("x", "y", columns)])
+    pairs = _unsent(x).join(y, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.root") != F.col("y.root"), _close("x", "y", columns)])
     more = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     crowded = rest.filter(F.col("n") > large).select("fp").distinct()
     more = stored(more.unionByName(_midpoint_links(crowded)), "more")

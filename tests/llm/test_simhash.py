@@ -117,3 +117,16 @@ def test_a_crowd_has_about_one_link_a_member(spark, monkeypatch):
     found = simhash.link_prints(spark.createDataFrame([(simhash.signed(p),) for p in crowd], "fp long")).collect()
     assert len({r["root"] for r in found}) == 1 and len(found) == len(crowd)
     assert seen[0] <= 1.2 * len(crowd)
+
+
+def test_what_an_explode_makes_is_not_broadcast(spark, monkeypatch):
+    """Spark takes it for as large as what it is made from, here a few kB."""
+    prints = hard_prints(3)
+    plans = {}
+    write = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    found = simhash.link_prints(spark.createDataFrame([(p,) for p in prints], "fp long"), 6, 20).collect()
+    got = {r["node"]: r["root"] for r in found}
+    assert {p: got.get(p, p) for p in prints} == components(prints)
+    for name in ("members", "rest", "more"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
